@@ -63,4 +63,6 @@ def unique_by(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     """groupBy(keys).agg(aggs), partitioned so that a following join on the keys puts its own exchange above it. With
     an exchange on both sides of that join, adaptive execution can split a hot key of the other side."""
     spread = F.xxhash64(*keys).alias("_spread")
+    if not aggs:
+        return df.select(*keys, spread).distinct().drop("_spread")
     return df.groupBy(*keys, spread).agg(*aggs).drop("_spread")
