@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import exact, mixing, packing, quality, secrets, simhash, tokens
+from lorekeep.llm import exact, mixing, packing, quality, secrets, simhash, substrings, tokens
 from lorekeep.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_and_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_exact_dedup,
         op3_quality_rules,
         op4_token_output,
+        op5_substring_dedup,
         op6_secret_scan,
         op8_simhash_near_dedup,
         op9_best_fit_packing,
