@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import exact, mixing, packing, quality, secrets, simhash, substrings, tokens
+from lorekeep.llm import exact, langid, mixing, packing, pseudo, quality, secrets, simhash, substrings, tokens
 from lorekeep.llm.common import documents
 
 
@@ -36,6 +36,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -44,6 +48,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo.scores(documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -53,8 +67,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_token_output,
         op5_substring_dedup,
         op6_secret_scan,
+        op7_language_id,
         op8_simhash_near_dedup,
         op9_best_fit_packing,
+        op10_lm_scoring,
+        pipeline,
     )
 }
 
