@@ -28,4 +28,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf():
-    return f"{DATA}/sf0.001"
+    return os.environ.get("SF_DIR", f"{DATA}/sf0.001")
