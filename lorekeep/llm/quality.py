@@ -93,6 +93,8 @@ def judge(docs: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFra
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their failing lines removed and n_chars, where there is one, counted anew."""
-    kept = judge(docs).where("kept")
+    # A projection with a non-deterministic column keeps the filter above it; pushed down, it would take the place of
+    # each column it names with that column's expression, nested many times over.
+    kept = judge(docs).withColumn("_stay", F.monotonically_increasing_id()).where("kept and _stay >= 0")
     cols = [F.col("clean_text").alias("text") if c == "text" else F.length("clean_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*cols)

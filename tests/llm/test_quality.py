@@ -32,7 +32,9 @@ def test_odd_rows(odd, odd_rows, empty):
 
 
 def test_lines(spark):
-    good = "This line is a sentence with quite a few words in it. "
-    text = "\n".join([good] * 3 + ["Home | About | Contact | Help | More", "No end here at all", "A$$$ b### c%%% d&&& e."] + [f"Another {i} sentence of this text ends here." for i in range(9)])
-    row = quality.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert row.kept and row.clean_text.split("\n") == [x for x in text.split("\n") if x.endswith(("here.", "it. "))]
+    good = [" ".join(f"w{i}x{j}" for j in range(8)) + "." for i in range(12)]
+    bad = ["Home | About | Contact | Help | More", "No end here at all", "A$$$ b### c%%% d&&& e.", "WE SHOUT ALL OF THIS NOW.", "Please read our cookie policy."]
+    row = quality.judge(spark.createDataFrame([(1, "\n".join(good[:6] + bad + good[6:]))], "doc_id long, text string")).first()
+    assert row.kept and row.clean_text.split("\n") == good
+    row = quality.judge(spark.createDataFrame([(1, "\n".join(good[:6] + [" ".join(f"u{i}y{j}" for j in range(6)) for i in range(20)]))], "doc_id long, text string")).first()
+    assert not row.base_failed and not row.kept
