@@ -8,23 +8,25 @@ import re
 from array import array
 from collections.abc import Iterator
 
-#: Pieces that one worker remembers; beyond it the memo starts anew, which costs time but changes nothing.
-MEMO_PIECES = 1_000_000
-#: White space besides the space and the line feed, or arranged so that runs of it could form tokens of their own.
-_UNEVEN = re.compile(
-    "[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|  | \\n|\\n |\\n\\n|^[ \\n]|[ \\n]$"
-)
-#: Where an uneven text can be cut all the same: before one white space between two visible ASCII characters.
+#: Pieces in each of the two generations of a worker's memo. When one is full the older is forgotten; that costs time
+#: for pieces that come back, and changes nothing.
+MEMO_PIECES = 400_000
+#: Characters of a text that are worked on at once.
+SEGMENT = 1 << 20
+#: White space that is neither a space nor a line feed, and white space that stands together.
+_OTHER_BLANKS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
+_TOGETHER = ("  ", " \n", "\n ", "\n\n")
+#: Where any text can be cut: before one white space between two visible ASCII characters.
 _CUT = re.compile(r"(?<=[!-~])[ \n](?=[!-~])")
 _BLANK = re.compile(r"[ \t-\r]")
 _SPACE = re.compile(" ")
-#: Characters of a text that are worked on at once.
-SEGMENT = 1 << 20
+#: Latin letters, and marks that follow them: two pre-tokens for every tokenizer here.
+_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([.,;:!?]*)")
 _END = array("I", [0]).tobytes()
-_encoders: dict[tuple[str, bool], "Encoder"] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, word_level: bool) -> "Encoder":
+def encoder(path: str, word_level: bool) -> Encoder:
     """One encoder for each file and worker process. word_level: the tokenizer drops white space and ignores case."""
     key = (path, word_level)
     if key not in _encoders:
@@ -32,12 +34,32 @@ def encoder(path: str, word_level: bool) -> "Encoder":
     return _encoders[key]
 
 
+def _byte_names() -> dict[int, str]:
+    """The characters by which byte-level vocabularies name bytes: visible ones themselves, the others from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def _even(text: str) -> bool:
+    return not (text[:1] in " \n" or text[-1:] in " \n" or any(x in text for x in _TOGETHER) or any(x in text for x in _OTHER_BLANKS)) if text else True
+
+
+class _Memo(dict):
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, piece):
+        return self.learn(piece)
+
+
 class Encoder:
-    """ids(texts): the ids of each text and an end id 0, as little-endian unsigned 32-bit integers.
+    """ids(text): the ids of a text and an end id 0, as little-endian unsigned 32-bit integers.
 
     A word-level tokenizer drops white space, so the words of a text are independent. A byte-level one attaches one
     space to the word that follows, and a line feed is a token of its own: a text whose white space is single spaces
-    and single line feeds splits before each. Other texts go to the tokenizer whole."""
+    and single line feeds splits before each. Other texts go to the tokenizer whole, or cut where that is safe. A piece
+    of plain letters and marks goes to the tokenizer's model directly."""
 
     def __init__(self, path: str, word_level: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,18 +67,52 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.word_level, self.memo = word_level, {}
+        self.model, self.names = self.tokenizer.model, _byte_names()
+        self.word_level, self.memo, self.older = word_level, _Memo(self._learn), {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.line_feed = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _model(self, pre_token: str) -> bytes:
+        if not pre_token.isascii() or pre_token[:1] == " ":
+            pre_token = pre_token.encode().decode("latin-1").translate(self.names)
+        return array("I", [t.id for t in self.model.tokenize(pre_token)]).tobytes()
+
+    def _learn(self, piece) -> bytes:
+        """The ids of a piece that the memo doesn't hold."""
+        found = self.older.get(piece)
+        if found is None:
+            text, head = (piece.decode().lower(), b"") if self.word_level else (piece, b"")
+            lead = "" if self.word_level else " "
+            if text[:1] == "\n":
+                text, head, lead = text[1:], self.line_feed, ""
+            if m := _PLAIN.fullmatch(text):
+                if m[2] not in self.marks:
+                    self.marks[m[2]] = self._model(m[2])
+                key = m[1].encode() if self.word_level else m[1] if lead else "\n" + m[1]
+                letters = (self.memo.get(key) or self.older.get(key)) if m[2] else None
+                letters = letters or head + self._model(lead + m[1])
+                if m[2]:
+                    self.memo[key] = letters
+                found = letters + self.marks[m[2]]
+            elif self.word_level:
+                found = self._encode([piece.decode()])[0]
+            else:
+                found = self._encode([piece if head else " " + piece])[0]
+        if len(self.memo) >= MEMO_PIECES:
+            self.memo, self.older = _Memo(self._learn), self.memo
+        self.memo[piece] = found
+        return found
+
     def _segments(self, text: str) -> Iterator[list]:
         """The pieces of a text, a bounded part of it at a time."""
         if not self.word_level:
             text = text.replace("\n", " \n")
-        i = 0
+        blank, i = _BLANK if self.word_level else _SPACE, 0
         while i < len(text):
-            m = _BLANK.search(text, i + SEGMENT) if self.word_level else _SPACE.search(text, i + SEGMENT)
+            m = blank.search(text, i + SEGMENT)
             j = m.start() if m else len(text)
             yield text[i:j].encode().lower().split() if self.word_level else text[i:j].split(" ")
             i = j if self.word_level else j + 1
@@ -70,31 +126,14 @@ class Encoder:
             i = j
         return b"".join(out)
 
-    def _learn(self, pieces: list) -> None:
-        if len(self.memo) + len(pieces) > MEMO_PIECES:
-            self.memo.clear()
-        texts = [p.decode() for p in pieces] if self.word_level else [p if p[:1] == "\n" else " " + p for p in pieces]
-        self.memo.update(zip(pieces, self._encode(texts), strict=True))
-
-    def _again(self, piece) -> bytes:
-        """A piece that the memo no longer holds, or one that has no ids."""
-        if piece not in self.memo:
-            self._learn([piece])
-        return self.memo[piece]
-
     def ids(self, text: str | None) -> bytes:
         text = text or ""
-        if not self.word_level and _UNEVEN.search(text):
+        if not self.word_level and not _even(text):
             return self._whole(text) + _END
         out = []
         for pieces in self._segments(text):
             if not self.word_level and not out:  # nothing stands before the first word
                 out += self._encode(pieces[:1])
                 pieces = pieces[1:]
-            found = list(map(self.memo.get, pieces))
-            if None in found:
-                self._learn(list({p for p, x in zip(pieces, found, strict=True) if x is None}))
-                memo = self.memo
-                found = [x if x is not None else memo.get(p) or self._again(p) for p, x in zip(pieces, found, strict=True)]
-            out += found
+            out.append(b"".join(map(self.memo.__getitem__, pieces)))
         return b"".join([*out, _END])
