@@ -33,9 +33,9 @@ VOCABULARY = GROUPS * GROUPS
 CLASSES = 256
 WIDTH = 16
 SIDE = 2
-MASK = 8
+MASK = 16
 ROUNDS = 2
-STEP = 256
+STEP = 1024
 RATE = 0.15
 #: Words that are worked on at once.
 PART = 1 << 16
@@ -97,17 +97,7 @@ def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _around(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The words about each position, 0 beyond its document. ends: where documents end among ids."""
-    n = len(ids)
-    doc = np.searchsorted(ends, np.arange(n), side="right")
-    out = np.zeros((n, 2 * SIDE), np.int32)
-    for j, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        i = np.arange(n) + d
-        ok = (i >= 0) & (i < n)
-        ok[ok] = doc[i[ok]] == doc[ok]
-        out[ok, j] = ids[i[ok]]
-    return out
+OFFSETS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
@@ -118,7 +108,7 @@ def _soft(x: np.ndarray) -> np.ndarray:
 def log_probabilities(flat: np.ndarray, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Of each word given those about it. Words of one group are predicted together."""
     w = _views(flat)
-    hidden = np.einsum("njd,jd->nd", w["embed"][around], w["place"])
+    hidden = sum(w["embed"][around[:, j]] * w["place"][j] for j in range(2 * SIDE))
     group, within = ids // GROUPS, ids % GROUPS
     x = hidden @ w["group"] + w["group_bias"]
     x -= x.max(1, keepdims=True)
@@ -135,32 +125,42 @@ def log_probabilities(flat: np.ndarray, around: np.ndarray, ids: np.ndarray) ->
 
 
 def learn(flat: np.ndarray, around: np.ndarray, ids: np.ndarray, rate: float = RATE) -> None:
-    """Stochastic gradient steps over masked positions, in place."""
+    """Stochastic gradient steps over masked positions, in place. A row of weights moves by the sum of its gradients
+    over the root of their number."""
     w = _views(flat)
     for i in range(0, len(ids), STEP):
         c, t = around[i : i + STEP], ids[i : i + STEP]
         group, within, n = t // GROUPS, t % GROUPS, len(t)
         e = w["embed"][c]
-        h = np.einsum("njd,jd->nd", e, w["place"])
+        h = (e * w["place"]).sum(1)
         p = _soft(h @ w["group"] + w["group_bias"])
         p[np.arange(n), group] -= 1
-        m = w["word"][group]
-        q = _soft(np.einsum("nd,ndk->nk", h, m) + w["word_bias"][group])
-        q[np.arange(n), within] -= 1
-        dh = p @ w["group"].T + np.einsum("nk,ndk->nd", q, m)
+        dh = p @ w["group"].T
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        for g in np.flatnonzero(np.diff(cuts)):
+            rows = order[cuts[g] : cuts[g + 1]]
+            q = _soft(h[rows] @ w["word"][g] + w["word_bias"][g])
+            q[np.arange(len(rows)), within[rows]] -= 1
+            dh[rows] += q @ w["word"][g].T
+            r = rate / len(rows) ** 0.5
+            w["word"][g] -= r * (h[rows].T @ q)
+            w["word_bias"][g] -= r * q.sum(0)
         np.clip(dh, -1, 1, out=dh)
         r = rate / n**0.5
         w["group"] -= r * (h.T @ p)
         w["group_bias"] -= r * p.sum(0)
-        np.subtract.at(w["word"], group, r * h[:, :, None] * q[:, None, :])
-        np.subtract.at(w["word_bias"], group, r * q)
-        np.subtract.at(w["embed"], c, r * dh[:, None, :] * w["place"])
+        near = c.ravel()
+        order = np.argsort(near, kind="stable")
+        first = np.flatnonzero(np.diff(near[order], prepend=-1))
+        sums = np.add.reduceat((dh[:, None, :] * w["place"]).reshape(-1, WIDTH)[order], first)
+        w["embed"][near[order][first]] -= rate * sums / np.sqrt(np.diff(np.append(first, len(near))))[:, None]
         w["place"] -= 0.1 * r * np.einsum("njd,nd->jd", e, dh)
 
 
 def _parts(words: Words, texts: Iterator[str | None]) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
-    """(text, words of it), the ids and what is about them, a bounded number of words at a time; parts of one text
-    overlap by the words that they need about them and count each word once."""
+    """(text, words of it), a padded row of ids and the places of the words in it, a bounded number at a time; parts of
+    one text overlap by the words that they need about them and count each word once."""
     held, size = [], 0
     for k, text in enumerate(texts):
         ids = words.of(text)
@@ -176,11 +176,15 @@ def _parts(words: Words, texts: Iterator[str | None]) -> Iterator[tuple[list[tup
 
 
 def _joined(held):
-    ends = np.cumsum([len(x[1]) for x in held])
-    ids = np.concatenate([x[1] for x in held])
-    around = _around(ids, ends)
-    own = np.concatenate([np.arange(e - len(x[1]) + x[2], e - len(x[1]) + x[3]) for x, e in zip(held, ends, strict=True)]).astype(np.int64)
-    return [(x[0], x[3] - x[2]) for x in held], ids[own], around[own]
+    """Padding stands between texts, so what is about a word is a shift."""
+    size = sum(len(x[1]) + SIDE for x in held) + SIDE
+    row, at, places = np.zeros(size, np.int32), SIDE, []
+    for _, ids, a, b in held:
+        row[at : at + len(ids)] = ids
+        places.append(np.arange(at + a, at + b))
+        at += len(ids) + SIDE
+    own = np.concatenate(places)
+    return [(x[0], x[3] - x[2]) for x in held], row, own
 
 
 _words: list[tuple[list, Words]] = []
@@ -208,10 +212,10 @@ def train(docs: DataFrame, frequent: list[str], rounds: int = ROUNDS) -> np.ndar
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate, k=k) -> Iterator[pa.RecordBatch]:
             words, own, n = ids_of(shared_words.value), shared.value.copy(), 0
             for b in batches:
-                for _, ids, around in _parts(words, (t.as_py() for t in b.column(0))):
-                    at = np.arange(len(ids))
+                for _, row, own_places in _parts(words, (t.as_py() for t in b.column(0))):
+                    ids, at = row[own_places], np.arange(len(own_places))
                     masked = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(MASK) == k % MASK
-                    learn(own, around[masked], ids[masked], rate)
+                    learn(own, row[own_places[masked][:, None] + OFFSETS], ids[masked], rate)
                     n += int(masked.sum())
             if n:
                 parts = [own[i : i + SLICE].tobytes() for i in range(0, len(own), SLICE)]
@@ -234,8 +238,8 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         words, flat = ids_of(shared_words.value), shared.value
         for b in batches:
             n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for texts, ids, around in _parts(words, (t.as_py() for t in b.column(1))):
-                logs, i = log_probabilities(flat, around, ids), 0
+            for texts, row, own in _parts(words, (t.as_py() for t in b.column(1))):
+                logs, i = log_probabilities(flat, row[own[:, None] + OFFSETS], row[own]), 0
                 for k, m in texts:
                     n[k] += m
                     total[k] += float(logs[i : i + m].sum(dtype=np.float64))

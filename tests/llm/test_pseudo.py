@@ -23,8 +23,8 @@ def test_scores_match_brute_force(monkeypatch):
     for part in (1 << 16, 5):
         monkeypatch.setattr(pseudo, "PART", part)
         got = [0.0] * len(texts)
-        for parts, ids, around in pseudo._parts(words, iter(texts)):
-            logs, i = pseudo.log_probabilities(flat, around, ids), 0
+        for parts, row, own in pseudo._parts(words, iter(texts)):
+            logs, i = pseudo.log_probabilities(flat, row[own[:, None] + pseudo.OFFSETS], row[own]), 0
             for k, n in parts:
                 got[k] += float(logs[i : i + n].sum())
                 i += n
