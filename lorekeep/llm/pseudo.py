@@ -5,9 +5,10 @@ each with a weight vector of its own place, are added up and predict the word be
 frequent words of the whole corpus, counted over every document; other words share hashed classes by their last letters.
 The output is factored: a softmax over groups of words, and one over the words of the group.
 
-Training is numpy, on all documents: each task takes the masked positions of its documents (a hash masks one word in
-``MASK``, everywhere alike), makes a pass of stochastic gradient steps from the shared start, and returns its weights
-with the number of words they stand for. The weights are averaged slice by slice in a shuffle, so the driver gets one
+Training is numpy, on all documents: each task takes the masked positions of its documents, makes a pass of stochastic
+gradient steps of ``STEP`` positions from the shared start, and returns its weights with the number of words they stand
+for. A hash deals the positions to the rounds, everywhere alike, so that each position of the corpus is masked, and is
+a training target, in exactly one round. The weights are averaged slice by slice in a shuffle, so the driver gets one
 model; rounds repeat this from the average. What is gathered follows the corpus: a count for each word and task, and a
 set of weights for each task and round.
 
@@ -33,9 +34,8 @@ VOCABULARY = GROUPS * GROUPS
 CLASSES = 256
 WIDTH = 16
 SIDE = 2
-MASK = 16
 ROUNDS = 2
-STEP = 1024
+STEP = 256
 RATE = 0.15
 #: Words that are worked on at once.
 PART = 1 << 16
@@ -130,22 +130,30 @@ def learn(flat: np.ndarray, around: np.ndarray, ids: np.ndarray, rate: float = R
     w = _views(flat)
     for i in range(0, len(ids), STEP):
         c, t = around[i : i + STEP], ids[i : i + STEP]
+        order = np.argsort(t, kind="stable")
+        c, t = c[order], t[order]
         group, within, n = t // GROUPS, t % GROUPS, len(t)
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        sizes, g = np.diff(first, append=n), group[first]
+        longest = sizes.max()
+        at = np.arange(n)
+        padded = np.repeat(np.arange(len(g)) * longest - first, sizes) + at  # groups as rows of one length
         e = w["embed"][c]
         h = (e * w["place"]).sum(1)
         p = _soft(h @ w["group"] + w["group_bias"])
-        p[np.arange(n), group] -= 1
-        dh = p @ w["group"].T
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[g] : cuts[g + 1]]
-            q = _soft(h[rows] @ w["word"][g] + w["word_bias"][g])
-            q[np.arange(len(rows)), within[rows]] -= 1
-            dh[rows] += q @ w["word"][g].T
-            r = rate / len(rows) ** 0.5
-            w["word"][g] -= r * (h[rows].T @ q)
-            w["word_bias"][g] -= r * q.sum(0)
+        p[at, group] -= 1
+        hs = np.zeros((len(g) * longest, WIDTH), np.float32)
+        hs[padded] = h
+        hs, m = hs.reshape(len(g), longest, WIDTH), w["word"][g]
+        q = _soft((hs @ m).reshape(-1, GROUPS)[padded] + w["word_bias"][group])
+        q[at, within] -= 1
+        qs = np.zeros((len(g) * longest, GROUPS), np.float32)
+        qs[padded] = q
+        qs = qs.reshape(len(g), longest, GROUPS)
+        dh = p @ w["group"].T + (qs @ m.transpose(0, 2, 1)).reshape(-1, WIDTH)[padded]
+        r = (rate / np.sqrt(sizes)).astype(np.float32)
+        w["word"][g] -= r[:, None, None] * (hs.transpose(0, 2, 1) @ qs)
+        w["word_bias"][g] -= r[:, None] * qs.sum(1)
         np.clip(dh, -1, 1, out=dh)
         r = rate / n**0.5
         w["group"] -= r * (h.T @ p)
@@ -202,6 +210,12 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table.column("slice")[:1], "weights": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
 
 
+def targets(ids: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """Whether each place of a part is masked in round k: in one of the rounds, by a hash of the word and the place."""
+    at = np.arange(len(ids), dtype=np.uint64)
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(rounds) == k
+
+
 def train(docs: DataFrame, frequent: list[str], rounds: int = ROUNDS) -> np.ndarray:
     """Weights after the given number of rounds over all documents."""
     sc, flat = docs.sparkSession.sparkContext, start()
@@ -213,8 +227,8 @@ def train(docs: DataFrame, frequent: list[str], rounds: int = ROUNDS) -> np.ndar
             words, own, n = ids_of(shared_words.value), shared.value.copy(), 0
             for b in batches:
                 for _, row, own_places in _parts(words, (t.as_py() for t in b.column(0))):
-                    ids, at = row[own_places], np.arange(len(own_places))
-                    masked = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(MASK) == k % MASK
+                    ids = row[own_places]
+                    masked = targets(ids, k, rounds)
                     learn(own, row[own_places[masked][:, None] + OFFSETS], ids[masked], rate)
                     n += int(masked.sum())
             if n:

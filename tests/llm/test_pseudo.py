@@ -41,6 +41,14 @@ def test_gradient():
     assert pseudo.log_probabilities(flat, around, ids).mean() > before + 1
 
 
+def test_each_position_is_a_target_once():
+    ids = np.random.default_rng(1).integers(0, pseudo.VOCABULARY, 5000)
+    for rounds in (1, pseudo.ROUNDS, 3):
+        masks = [pseudo.targets(ids, k, rounds) for k in range(rounds)]
+        assert (np.sum(masks, axis=0) == 1).all()
+        assert min(m.sum() for m in masks) > 5000 / rounds * 0.9
+
+
 def test_whole_table_and_training(spark, sf, texts):
     rows = {r.doc_id: r for r in queries.op10_lm_scoring(spark, sf).collect()}
     assert rows.keys() == texts.keys()
