@@ -3,16 +3,22 @@
 The model is a bidirectional window network: the embeddings of the ``SIDE`` words before and after a masked position,
 each with a weight vector of its own place, are added up and predict the word between them. The vocabulary is the most
 frequent words of the whole corpus, counted over every document; other words share hashed classes by their last letters.
-The output is factored: a softmax over groups of words, and one over the words of the group.
+The output is factored: a softmax over groups of words, one over the words of the group, and for a word of a class its
+share of the class, P(word | class) = occurrences of the word / occurrences of the class in the whole corpus. The corpus
+that is scored is the one that was counted, so there is no unseen word, and the probabilities of the words of a class
+sum to that of the class.
 
 Training is numpy, on all documents: each task takes the masked positions of its documents, makes a pass of stochastic
 gradient steps of ``STEP`` positions from the shared start, and returns its weights with the number of words they stand
 for. A hash deals the positions to the rounds, everywhere alike, so that each position of the corpus is masked, and is
 a training target, in exactly one round. The weights are averaged slice by slice in a shuffle, so the driver gets one
-model; rounds repeat this from the average. What is gathered follows the corpus: a count for each word and task, and a
-set of weights for each task and round.
+model; rounds repeat this from the average. What is gathered follows the corpus: a count for each word and task, the
+occurrences of all words of classes, and a set of weights for each task and round. The network has a fixed size; the
+counts of words do not, and never come to the driver.
 
-Scoring is one pass: the log-probability of every word of a document from both sides, summed.
+Scoring is one pass: the log-probability of every word of a document from both sides, less log(occurrences) of its
+class, summed. log(occurrences) of the words themselves is added up natively: the occurrences are dealt by word, counted
+and summed for each row. None of these words is hot: it has less than one in ``VOCABULARY - CLASSES - 1`` of all words.
 
 Cases: null, empty and blank texts have 0 words, score 0 and a null mean. A single word is predicted from the padding
 around it. Repeated rows are scored row by row, and counted each time. Whole texts are scored, a bounded part at a
@@ -25,9 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.llm.common import WHITE_SPACE, cut
+
 GROUPS = 64
 VOCABULARY = GROUPS * GROUPS
 #: Ids of words outside the vocabulary: classes by their last letters. Id 0 is the padding.
@@ -43,14 +51,26 @@ PART = 1 << 16
 KNOWN = 200_000
 
 
+def _occurrences(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(*columns, F.explode(F.split(F.coalesce("text", F.lit("")), WHITE_SPACE)).alias("w")).where("w <> ''")
+
+
 def vocabulary(docs: DataFrame) -> list[str]:
     """The most frequent words, ties by the word: a fixed number of them."""
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+")).alias("w")).where("w <> ''")
-    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    counts = _occurrences(docs).groupBy("w").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "w").limit(VOCABULARY - CLASSES - 1)
     return [r["w"] for r in top.collect()]
 
 
+def rare_counts(docs: DataFrame, frequent: list[str]) -> DataFrame:
+    """_row, log_n: the logs of the corpus-wide counts of the words outside the vocabulary, summed over a row's words.
+    Words that occur once add nothing and may leave a row out."""
+    known = docs.sparkSession.createDataFrame([(w,) for w in frequent], "w string")
+    rare = _occurrences(docs, "_row").join(F.broadcast(known), "w", "left_anti")
+    counted = rare.withColumn("n", F.count("*").over(Window.partitionBy("w"))).where("n > 1")
+    return counted.groupBy("_row").agg(F.sum(F.log("n")).alias("log_n"))
+
+
 class Words:
     """Ids of words."""
 
@@ -204,7 +224,15 @@ def ids_of(frequent: list[str]) -> Words:
     return _words[0][1]
 
 
+#: The slice that holds occurrences of classes and not weights.
+TOTALS = -1
+
+
 def _average(table: pa.Table) -> pa.Table:
+    """Weights averaged, occurrences added up."""
+    if table.column("slice")[0].as_py() == TOTALS:
+        added = sum(np.frombuffer(x, np.int64) for x in table.column("weights").to_pylist())
+        return pa.table({"slice": table.column("slice")[:1], "weights": pa.array([added.tobytes()], pa.binary())})
     n = np.asarray(table.column("n").combine_chunks(), np.float64)
     total = sum(w * np.frombuffer(x, np.float32) for w, x in zip(n, table.column("weights").to_pylist(), strict=True))
     return pa.table({"slice": table.column("slice")[:1], "weights": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
@@ -216,49 +244,59 @@ def targets(ids: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(rounds) == k
 
 
-def train(docs: DataFrame, frequent: list[str], rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after the given number of rounds over all documents."""
-    sc, flat = docs.sparkSession.sparkContext, start()
+def train(docs: DataFrame, frequent: list[str], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights after the given number of rounds over all documents, and the occurrences of each class."""
+    sc, flat, totals = docs.sparkSession.sparkContext, start(), np.zeros(CLASSES + 1, np.int64)
     shared_words = sc.broadcast(frequent)
     for k in range(rounds):
         shared, rate = sc.broadcast(flat), RATE / (1 + k)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate, k=k) -> Iterator[pa.RecordBatch]:
-            words, own, n = ids_of(shared_words.value), shared.value.copy(), 0
+            words, own, n, seen = ids_of(shared_words.value), shared.value.copy(), 0, np.zeros(CLASSES + 1, np.int64)
             for b in batches:
                 for _, row, own_places in _parts(words, (t.as_py() for t in b.column(0))):
                     ids = row[own_places]
+                    seen += np.bincount(ids[ids <= CLASSES], minlength=CLASSES + 1)
                     masked = targets(ids, k, rounds)
                     learn(own, row[own_places[masked][:, None] + OFFSETS], ids[masked], rate)
                     n += int(masked.sum())
-            if n:
-                parts = [own[i : i + SLICE].tobytes() for i in range(0, len(own), SLICE)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["slice", "n", "weights"])
+            if n or seen.any():
+                parts = [own[i : i + SLICE].tobytes() for i in range(0, len(own), SLICE)] if n else []
+                at, parts = [*range(len(parts)), TOTALS], [*parts, seen.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["slice", "n", "weights"])
 
         found = docs.select("text").mapInArrow(run, "slice int, n long, weights binary").groupBy("slice").applyInArrow(_average, "slice int, weights binary").collect()  # one model
-        if found:
-            flat = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(found, key=lambda r: r["slice"])])
-    return flat
+        parts = {r["slice"]: r["weights"] for r in found}
+        totals = np.frombuffer(parts.pop(TOTALS, totals.tobytes()), np.int64)
+        if parts:
+            flat = np.concatenate([np.frombuffer(parts[i], np.float32) for i in sorted(parts)])
+    return flat, totals
 
 
 def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, log_likelihood (natural, summed over the words), mean_log_likelihood."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "text"))
     frequent = vocabulary(docs)
     sc = docs.sparkSession.sparkContext
-    shared_words, shared = sc.broadcast(frequent), sc.broadcast(train(docs, frequent, rounds))
+    flat, totals = train(docs, frequent, rounds)
+    spread = np.zeros(VOCABULARY)
+    spread[: CLASSES + 1] = np.log(np.maximum(totals, 1))
+    shared_words, shared = sc.broadcast(frequent), sc.broadcast((flat, spread))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = ids_of(shared_words.value), shared.value
+        words, (flat, spread) = ids_of(shared_words.value), shared.value
         for b in batches:
             n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for texts, row, own in _parts(words, (t.as_py() for t in b.column(1))):
-                logs, i = log_probabilities(flat, row[own[:, None] + OFFSETS], row[own]), 0
+            for texts, row, own in _parts(words, (t.as_py() for t in b.column(2))):
+                ids, i = row[own], 0
+                logs = log_probabilities(flat, row[own[:, None] + OFFSETS], ids) - spread[ids]
                 for k, m in texts:
                     n[k] += m
-                    total[k] += float(logs[i : i + m].sum(dtype=np.float64))
+                    total[k] += float(logs[i : i + m].sum())
                     i += m
-            mean = [t / m if m else None for t, m in zip(total.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(total)], ["_row", "doc_id", "n_words", "in_class"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    scored = docs.mapInArrow(run, "_row long, doc_id long, n_words long, in_class double")
+    total = F.col("in_class") + F.coalesce("log_n", F.lit(0.0))
+    out = scored.join(rare_counts(docs, frequent), "_row", "left").select("doc_id", "n_words", total.alias("log_likelihood"))
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

@@ -62,3 +62,25 @@ def test_odd_rows(odd, odd_rows, empty):
     assert len(rows) == len(odd_rows)
     assert all(r.n_words == 0 and r.log_likelihood == 0 and r.mean_log_likelihood is None for r in rows if r.doc_id in (0, 1, 2))
     assert pseudo.scores(empty).count() == 0
+
+
+def test_words_of_a_class_are_charged(spark, monkeypatch):
+    monkeypatch.setattr(pseudo, "vocabulary", lambda docs: ["the", "of"])
+    texts = ["xabc", "yabc", "xabc", "the xabc of", "the yabc of", "of the", "xabc xabc", "xabc"]
+    rows = pseudo.scores(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)).collect()
+    got = {r.doc_id: r.log_likelihood for r in rows}
+    assert len(rows) == len(texts) and got[0] == got[2] == got[7]
+    assert math.isclose(got[0] - got[1], math.log(6 / 2), abs_tol=1e-9)
+    assert math.isclose(got[3] - got[4], math.log(6 / 2), abs_tol=1e-4)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_row long, text string").coalesce(1)
+    flat, totals = pseudo.train(docs, ["the", "of"])
+    ids = pseudo.Words(["the", "of"]).of("xabc")
+    assert totals.sum() == totals[ids[0]] == 8
+    assert math.isclose(got[0], brute(flat, ids) + math.log(6 / 8), abs_tol=1e-3)
+
+
+def test_trained_beats_chance_over_all_words(spark, sf, texts):
+    rows = queries.op10_lm_scoring(spark, sf).collect()
+    distinct = {w for t in texts.values() for w in (t.text or "").encode().split()}
+    trained = sum(r.log_likelihood for r in rows) / sum(r.n_words for r in rows)
+    assert -math.log(len(distinct)) + 1 < trained < 0
