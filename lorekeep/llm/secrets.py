@@ -4,7 +4,8 @@ Each text is scanned once; what the scan keeps of it is the list of its matches.
 between the matches of ``regexp_extract_all``, so code-point positions are running sums over a document's matches. The
 candidate values, hashed, are counted by distinct repositories (documents) and owners (sources): a value under one
 owner is a live-looking credential, one that several owners have is a copied example. Base matches are always reported;
-of the further kinds only values of one owner add spans, and the counts of both sorts are returned.
+of the further kinds only values of one owner add spans, and the counts of both sorts are returned. A private key is
+its whole block, whatever its line ends are: keys of one type are different values.
 
 Counting is by partial sums, first over (value, owner); the join of matches to their counts lets adaptive execution
 split a value that a third of the documents repeat. Positions are computed per document and kind.
@@ -22,13 +23,18 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import cut, unique_by
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A private key from its header through the END line; without one, the header and the base64 runs that follow it.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++){0,200}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nr]){1,8}+[A-Za-z0-9+/=]{16,}+){0,400}+)"
+)
 #: Kinds in the order in which they are listed: pattern of a match, and of the value in it (None: the match).
 KINDS = {
     "assign": (ASSIGN, 2),
     "access": (r"AKIA[A-Z0-9]{16,}", None),
     "hex": (r"[0-9a-f]{24,}", None),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", None),
-    "pem": (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", None),
+    "pem": (PEM, None),
     "vendor": (r"(?:gh[pousr]_|glpat-|[sr]k_live_|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}", None),
     "opaque": (r"[A-Za-z0-9+/_-]{32,}", None),
 }
@@ -39,7 +45,7 @@ def _hits(text: Column, kind: str, at: int) -> Column:
     """Matches of a kind: its number, order, gap before, length, value (null if the match fails)."""
     pattern, group = KINDS[kind]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = lambda m: F.regexp_extract(m, pattern, group) if group else m
+    value = lambda m: F.regexp_extract(m, pattern, group) if group else F.regexp_replace(m, r"\s|\\[nr]", "") if kind == "pem" else m
     passes = {
         "assign": lambda m: F.length(value(m)) >= 6,
         "opaque": lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]"),

@@ -50,3 +50,20 @@ def test_ownership(spark):
     for r in frame.collect():
         counted[(r.n_repositories, r.n_owners)].add(r.doc_id)
     assert {1, 2} <= counted[(2, 2)]
+
+
+def test_private_keys_are_told_apart(spark):
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = lambda c: f"{c * 64}\n{c * 64}\n{c * 9}=="
+    key = lambda c: f"{head}\n{body(c)}\n{tail}"
+    encrypted = f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body('e')}\n{tail}"
+    shared = key("s")
+    texts = [f"😀 {key('a')} x", f"y {key('b')}", f"{head}\n{body('c')} cut", f"z {encrypted} {key('f')}", f"{shared}.", f". {shared.replace(chr(10), chr(13) + chr(10))}"]
+    want = [[key("a")], [key("b")], [f"{head}\n{body('c')[:129]}"], [encrypted, key("f")], [], []]
+    df = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    for r in secrets.report(df).collect():
+        found = [x.split(":") for x in r.spans.split(",") if x.startswith("pem")]
+        assert [texts[r.doc_id][int(a) : int(b)] for _, a, b in found] == want[r.doc_id]
+    long = [("-----BEGIN PRIVATE KEY-----\n" + "a-b " * 200_000, "p"), ("-----BEGIN PRIVATE KEY-----" * 30_000, "q"), ("-----BEGIN PRIVATE KEY-----\n" + ("Q" * 64 + "\n") * 5000, "r")]
+    rows = secrets.report(spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(long)], df.schema)).collect()
+    assert len(rows) == 3
