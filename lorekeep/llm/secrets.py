@@ -3,8 +3,9 @@
 Each text is scanned once; what the scan keeps of it is the list of its matches. Java's ``split`` gives the gaps
 between the matches of ``regexp_extract_all``, so code-point positions are running sums over a document's matches. The
 candidate values, hashed, are counted by distinct repositories (documents) and owners (sources): a value under one
-owner is a live-looking credential, one that several owners have is a copied example. Base matches are always reported;
-of the further kinds only values of one owner add spans, and the counts of both sorts are returned. A private key is
+owner in at most ``MAX_REPOSITORIES`` documents is a live-looking credential; one that several owners have, or that one
+owner repeats in more documents, is a copied example. Base matches are always reported; of the further kinds only
+live-looking values add spans, and the counts of both sorts are returned. A private key is
 its whole block, whatever its line ends are: keys of one type are different values.
 
 Counting is by partial sums, first over (value, owner); the join of matches to their counts lets adaptive execution
@@ -39,6 +40,8 @@ KINDS = {
     "opaque": (r"[A-Za-z0-9+/_-]{32,}", None),
 }
 BASE = ("assign", "access", "hex")
+#: Documents of one owner that may repeat a live-looking value.
+MAX_REPOSITORIES = 10
 
 
 def _hits(text: Column, kind: str, at: int) -> Column:
@@ -73,11 +76,11 @@ def spans(docs: DataFrame) -> DataFrame:
     return rows.join(counted, "value").drop("value", "_owner"), scan.select("_row", "doc_id")
 
 
-def report(docs: DataFrame, max_owners: int = 1) -> DataFrame:
+def report(docs: DataFrame, max_owners: int = 1, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owner_specific and n_widely_copied (all spans)."""
     rows, every = spans(docs)
     names = F.array(*map(F.lit, KINDS))
-    live = F.col("n_owners") <= max_owners
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
     rows = rows.withColumn("base", F.col("kind") < len(BASE)).where(F.col("base") | live)
     item = F.struct("start", "kind", "end", "base")
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")

@@ -67,3 +67,11 @@ def test_private_keys_are_told_apart(spark):
     long = [("-----BEGIN PRIVATE KEY-----\n" + "a-b " * 200_000, "p"), ("-----BEGIN PRIVATE KEY-----" * 30_000, "q"), ("-----BEGIN PRIVATE KEY-----\n" + ("Q" * 64 + "\n") * 5000, "r")]
     rows = secrets.report(spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(long)], df.schema)).collect()
     assert len(rows) == 3
+
+
+def test_mass_copy_under_one_owner(spark):
+    few, mass = "ghp_" + "a1B2" * 9, "ghp_" + "c3D4" * 9
+    n = secrets.MAX_REPOSITORIES
+    texts = [f"x {few}"] * n + [f"x {mass}"] * (n + 1)
+    df = spark.createDataFrame([(i, t, "hot") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in secrets.report(df).collect() if "vendor" in r.spans} == set(range(n))
