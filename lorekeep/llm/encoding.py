@@ -23,14 +23,14 @@ _SPACE = re.compile(" ")
 #: Latin letters, and marks that follow them: two pre-tokens for every tokenizer here.
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([.,;:!?]*)")
 _END = array("I", [0]).tobytes()
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, word_level: bool) -> Encoder:
-    """One encoder for each file and worker process. word_level: the tokenizer drops white space and ignores case."""
-    key = (path, word_level)
+def encoder(path: str, word_level: bool, special_as_text: bool = False) -> Encoder:
+    """One encoder for each file, settings and worker process."""
+    key = (path, word_level, special_as_text)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, word_level)
+        _encoders[key] = Encoder(*key)
     return _encoders[key]
 
 
@@ -56,21 +56,30 @@ class _Memo(dict):
 class Encoder:
     """ids(text): the ids of a text and an end id 0, as little-endian unsigned 32-bit integers.
 
-    A word-level tokenizer drops white space, so the words of a text are independent. A byte-level one attaches one
-    space to the word that follows, and a line feed is a token of its own: a text whose white space is single spaces
-    and single line feeds splits before each. Other texts go to the tokenizer whole, or cut where that is safe. A piece
-    of plain letters and marks goes to the tokenizer's model directly."""
+    word_level: the tokenizer drops white space and ignores case, so the words of a text are independent. A byte-level
+    tokenizer attaches one space to the word that follows, and a line feed is a token of its own: a text whose white
+    space is single spaces and single line feeds splits before each. Other texts go to the tokenizer whole, or cut where
+    that is safe. A piece of plain letters and marks goes to the tokenizer's model directly.
 
-    def __init__(self, path: str, word_level: bool):
+    The special tokens of the file are recognised in a text, as the tokenizer does by default: what is before and after
+    one is encoded by itself. special_as_text: their strings are ordinary text."""
+
+    def __init__(self, path: str, word_level: bool, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.model, self.names = self.tokenizer.model, _byte_names()
         self.word_level, self.memo, self.older = word_level, _Memo(self._learn), {}
         self.marks: dict[str, bytes] = {"": b""}
         self.line_feed = self._encode(["\n"])[0]
+        added = [] if special_as_text else [*self.tokenizer.get_added_tokens_decoder().items()]
+        #: A token that takes the blanks about it, or is sought in normalised text, forbids any cut.
+        self.uncut = any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added)
+        self.special = {t.content: array("I", [i]).tobytes() for i, t in added}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.special_cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -128,12 +137,20 @@ class Encoder:
 
     def ids(self, text: str | None) -> bytes:
         text = text or ""
+        if self.uncut:
+            return self._encode([text])[0] + _END
+        if any(x in text for x in self.special):
+            return b"".join(self.special.get(part) or self._ordinary(part) for part in self.special_cut.split(text)) + _END
+        return self._ordinary(text) + _END
+
+    def _ordinary(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
         if not self.word_level and not _even(text):
-            return self._whole(text) + _END
+            return self._whole(text)
         out = []
         for pieces in self._segments(text):
             if not self.word_level and not out:  # nothing stands before the first word
                 out += self._encode(pieces[:1])
                 pieces = pieces[1:]
             out.append(b"".join(map(self.memo.__getitem__, pieces)))
-        return b"".join([*out, _END])
+        return b"".join(out)

@@ -12,18 +12,21 @@ from lorekeep.llm import encoding, packing, queries, tokens
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
-def plain(path):
+def plain(path, special_as_text=False):
+    """The tokenizer as its file gives it, text by text."""
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    if special_as_text:
+        t.encode_special_tokens = True
     return lambda s: np.array([*t.encode(s or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
 @pytest.mark.parametrize(("path", "word_level"), [(BYTE, False), (WORD, True)])
-def test_encoder_equals_the_tokenizer(monkeypatch, path, word_level):
+def test_encoder_equals_the_tokenizer(monkeypatch, path, word_level, special_as_text):
     monkeypatch.setattr(encoding, "SEGMENT", 50)
     monkeypatch.setattr(encoding, "MEMO_PIECES", 200)
-    rng, own, want = random.Random(5), encoding.Encoder(path, word_level), plain(path)
-    odd = ["a", "B", "The", " ", " ", "\n", "\n\n", "  ", "\t", "é", "É", "e\u0301", "\u00a0", "don't", "<|endoftext|>", "12", "ſ", "İ", "Σ", "中文", "😀", "\x1c", "\x85", "\r\n", ".", "!!", "\u200b", "\u2003"]
+    rng, own, want = random.Random(5), encoding.Encoder(path, word_level, special_as_text), plain(path, special_as_text)
+    odd = ["a", "B", "The", " ", " ", "\n", "\n\n", "  ", "\t", "é", "É", "e\u0301", "\u00a0", "don't", "<|endoftext|>", "12", "ſ", "İ", "Σ", "中文", "😀", "\x1c", "\x85", "\r\n", ".", "!!", "\u200b", "\u2003", "<|startoftext|>", "<|", "|>", "x###", "It's", "#%"]
     for i in range(1500):
         alphabet = odd if i % 2 else ["a ", "bc ", "d\n", "Foo. ", " x", "É, ", "y"]
         s = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 30, 200])))
