@@ -11,17 +11,22 @@ from collections.abc import Iterator
 #: Pieces in each of the two generations of a worker's memo. When one is full the older is forgotten; that costs time
 #: for pieces that come back, and changes nothing.
 MEMO_PIECES = 400_000
+#: Runs of symbols that a worker remembers.
+KNOWN_MARKS = 50_000
+#: The name of the space in byte-level vocabularies.
+_SPACE_NAME = "\u0120"
 #: Characters of a text that are worked on at once.
 SEGMENT = 1 << 20
 #: White space that is neither a space nor a line feed, and white space that stands together.
 _OTHER_BLANKS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
+_ASCII_BLANKS = "".join(filter(str.isascii, _OTHER_BLANKS))
 _TOGETHER = ("  ", " \n", "\n ", "\n\n")
 #: Where any text can be cut: before one white space between two visible ASCII characters.
 _CUT = re.compile(r"(?<=[!-~])[ \n](?=[!-~])")
 _BLANK = re.compile(r"[ \t-\r]")
 _SPACE = re.compile(" ")
-#: Latin letters, and marks that follow them: two pre-tokens for every tokenizer here.
-_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([.,;:!?]*)")
+#: Latin letters, and ASCII symbols that follow them: two pre-tokens for every tokenizer here.
+_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 _END = array("I", [0]).tobytes()
 _encoders: dict[tuple[str, bool, bool], Encoder] = {}
 
@@ -42,7 +47,10 @@ def _byte_names() -> dict[int, str]:
 
 
 def _even(text: str) -> bool:
-    return not (text[:1] in " \n" or text[-1:] in " \n" or any(x in text for x in _TOGETHER) or any(x in text for x in _OTHER_BLANKS)) if text else True
+    if not text:
+        return True
+    others = _ASCII_BLANKS if text.isascii() else _OTHER_BLANKS
+    return not (text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _TOGETHER) or any(x in text for x in others))
 
 
 class _Memo(dict):
@@ -59,7 +67,7 @@ class Encoder:
     word_level: the tokenizer drops white space and ignores case, so the words of a text are independent. A byte-level
     tokenizer attaches one space to the word that follows, and a line feed is a token of its own: a text whose white
     space is single spaces and single line feeds splits before each. Other texts go to the tokenizer whole, or cut where
-    that is safe. A piece of plain letters and marks goes to the tokenizer's model directly.
+    that is safe. A piece of plain letters and symbols goes to the tokenizer's model directly.
 
     The special tokens of the file are recognised in a text, as the tokenizer does by default: what is before and after
     one is encoded by itself. special_as_text: their strings are ordinary text."""
@@ -85,31 +93,50 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _model(self, pre_token: str) -> bytes:
-        if not pre_token.isascii() or pre_token[:1] == " ":
+        if not pre_token.isascii():
             pre_token = pre_token.encode().decode("latin-1").translate(self.names)
         return array("I", [t.id for t in self.model.tokenize(pre_token)]).tobytes()
 
+    def _word(self, letters: str, lead: str) -> bytes:
+        """Ids of letters alone, after a space or after nothing."""
+        if letters.isascii():
+            tokens = self.model.tokenize(_SPACE_NAME + letters if lead else letters)
+            return array("I", [t.id for t in tokens]).tobytes()
+        return self._model(lead + letters)
+
+    def _plain(self, piece) -> bytes | None:
+        """The ids of a piece of plain letters and symbols; None for any other piece."""
+        if self.word_level:
+            text, head, lead = piece.decode().lower(), b"", ""
+        elif piece[:1] == "\n":
+            text, head, lead = piece[1:], self.line_feed, ""
+        else:
+            text, head, lead = piece, b"", " "
+        m = _PLAIN.fullmatch(text)
+        if m is None:
+            return None
+        letters, marks = m.groups()
+        if not marks:
+            return head + self._word(letters, lead)
+        key = letters.encode() if self.word_level else letters if lead else "\n" + letters
+        first = self.memo.get(key) or self.older.get(key)
+        if first is None:
+            first = self.memo[key] = head + self._word(letters, lead)
+        end = self.marks.get(marks)
+        if end is None:
+            if len(self.marks) >= KNOWN_MARKS:
+                self.marks.clear()
+            end = self.marks[marks] = self._model(marks)
+        return first + end
+
     def _learn(self, piece) -> bytes:
         """The ids of a piece that the memo doesn't hold."""
         found = self.older.get(piece)
         if found is None:
-            text, head = (piece.decode().lower(), b"") if self.word_level else (piece, b"")
-            lead = "" if self.word_level else " "
-            if text[:1] == "\n":
-                text, head, lead = text[1:], self.line_feed, ""
-            if m := _PLAIN.fullmatch(text):
-                if m[2] not in self.marks:
-                    self.marks[m[2]] = self._model(m[2])
-                key = m[1].encode() if self.word_level else m[1] if lead else "\n" + m[1]
-                letters = (self.memo.get(key) or self.older.get(key)) if m[2] else None
-                letters = letters or head + self._model(lead + m[1])
-                if m[2]:
-                    self.memo[key] = letters
-                found = letters + self.marks[m[2]]
-            elif self.word_level:
-                found = self._encode([piece.decode()])[0]
-            else:
-                found = self._encode([piece if head else " " + piece])[0]
+            found = self._plain(piece)
+        if found is None:
+            text = piece.decode() if self.word_level else piece if piece[:1] == "\n" else " " + piece
+            found = self._encode([text])[0]
         if len(self.memo) >= MEMO_PIECES:
             self.memo, self.older = _Memo(self._learn), self.memo
         self.memo[piece] = found
