@@ -8,33 +8,39 @@ share of the class, P(word | class) = occurrences of the word / occurrences of t
 that is scored is the one that was counted, so there is no unseen word, and the probabilities of the words of a class
 sum to that of the class.
 
-Training is numpy, on all documents: each task takes the masked positions of its documents, makes a pass of stochastic
-gradient steps of ``STEP`` positions from the shared start, and returns its weights with the number of words they stand
-for. A hash deals the positions to the rounds, everywhere alike, so that each position of the corpus is masked, and is
-a training target, in exactly one round. The weights are averaged slice by slice in a shuffle, so the driver gets one
-model; rounds repeat this from the average. What is gathered follows the corpus: a count for each word and task, the
-occurrences of all words of classes, and a set of weights for each task and round. The network has a fixed size; the
-counts of words do not, and never come to the driver.
+Words become ids once, in a written table; training and scoring read that. Training is numpy, on all documents: a hash
+of id and text deals them to groups of about ``GROUP_WORDS`` words, and within a group gives their order. A group makes
+a pass of stochastic gradient steps of ``STEP`` positions from the shared start, and the weights of the groups are
+averaged by their numbers of positions; rounds repeat this from the average. A hash of document and position deals the
+positions to the rounds, so that each position of the corpus is masked, and is a training target, in exactly one round.
+Groups, order and rounds depend on the documents alone, so neither partitions nor batches change the model, beyond the
+rounding of sums. The biases start from the occurrences of the whole vocabulary. Sums meet in a tree, ``FAN`` at a time,
+and the driver gets one model. What is gathered follows the corpus: the occurrences of all words, and a set of weights
+for each group and round. The network has a fixed size; the counts of words do not, and never come to the driver.
 
 Scoring is one pass: the log-probability of every word of a document from both sides, less log(occurrences) of its
 class, summed. log(occurrences) of the words themselves is added up natively: the occurrences are dealt by word, counted
-and summed for each row. None of these words is hot: it has less than one in ``VOCABULARY - CLASSES - 1`` of all words.
+and summed for each row. None of these words is hot: it has less than one in ``VOCABULARY - CLASSES - 1`` of all words,
+or in ``RAREST``.
 
-Cases: null, empty and blank texts have 0 words, score 0 and a null mean. A single word is predicted from the padding
-around it. Repeated rows are scored row by row, and counted each time. Whole texts are scored, a bounded part at a
-time. Extra columns are ignored. An empty table gives no rows.
+Cases: null, empty and blank texts have no words, likelihood 0 and a null mean. Repeated rows are scored row by row, and
+all train. Texts of any length are scored whole, a bounded part at a time. Extra columns are ignored. An empty table
+gives no rows; without any word the model is its start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import WHITE_SPACE, cut
+from lorekeep.llm.common import WHITE_SPACE, cut, work_path
 
 GROUPS = 64
 VOCABULARY = GROUPS * GROUPS
@@ -43,8 +49,19 @@ CLASSES = 256
 WIDTH = 16
 SIDE = 2
 ROUNDS = 2
-STEP = 256
-RATE = 0.15
+STEP = 2048
+RATE = 0.3
+#: The sum of squares that a weight starts with.
+START_SIZE = 1e-4
+#: Words of a group of documents that is trained on by itself, and tasks that train at most.
+GROUP_WORDS = 2_000_000
+TASKS = 20_000
+#: A word of the vocabulary makes up at least one in so many of all words.
+RAREST = 1 << 18
+#: Arrays that are added up in one task.
+FAN = 128
+#: Positions whose probabilities are computed at once.
+BLOCK = 4096
 #: Words that are worked on at once.
 PART = 1 << 16
 #: Classes of rare words that a worker remembers.
@@ -56,9 +73,11 @@ def _occurrences(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame) -> list[str]:
-    """The most frequent words, ties by the word: a fixed number of them."""
-    counts = _occurrences(docs).groupBy("w").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "w").limit(VOCABULARY - CLASSES - 1)
+    """The most frequent words, ties by the word: a fixed number at most, of those that make up one in RAREST of all
+    words. No more than RAREST words can, which bounds what is sorted and sent."""
+    counts = cut(_occurrences(docs).groupBy("w").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.where(F.col("n") >= total / RAREST).orderBy(F.desc("n"), "w").limit(VOCABULARY - CLASSES - 1)
     return [r["w"] for r in top.collect()]
 
 
@@ -120,81 +139,133 @@ def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
 OFFSETS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 
-def _soft(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+#: Scores before a softmax are cut to this, so that their exponentials are finite without a search for the largest.
+BOUND = np.float32(80)
+
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    """Exponentials of bounded scores, in place."""
+    np.clip(x, -BOUND, BOUND, out=x)
+    return np.exp(x, out=x)
 
 
 def log_probabilities(flat: np.ndarray, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Of each word given those about it. Words of one group are predicted together."""
-    w = _views(flat)
-    hidden = sum(w["embed"][around[:, j]] * w["place"][j] for j in range(2 * SIDE))
-    group, within = ids // GROUPS, ids % GROUPS
-    x = hidden @ w["group"] + w["group_bias"]
-    x -= x.max(1, keepdims=True)
-    out = x[np.arange(len(ids)), group] - np.log(np.exp(x).sum(1))
+    w, out = _views(flat), np.empty(len(ids))
+    for i in range(0, len(ids), BLOCK):
+        out[i : i + BLOCK] = _log_probabilities(w, around[i : i + BLOCK], ids[i : i + BLOCK])
+    return out
+
+
+def _near(w: dict[str, np.ndarray], around: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The embeddings of the words at each place, and their weighted sum."""
+    near = [w["embed"][around[:, j]] for j in range(2 * SIDE)]
+    h = near[0] * w["place"][0]
+    for j in range(1, 2 * SIDE):
+        h += near[j] * w["place"][j]
+    return near, h
+
+
+def _by_group(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings the words of a group together, the groups, and where each begins, with the end."""
+    group = (ids // GROUPS).astype(np.int16)  # sorted by radix
     order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
-        rows = order[cuts[g] : cuts[g + 1]]
-        if len(rows):
-            x = hidden[rows] @ w["word"][g] + w["word_bias"][g]
-            x -= x.max(1, keepdims=True)
-            out[rows] += x[np.arange(len(rows)), within[rows]] - np.log(np.exp(x).sum(1))
+    group = group[order]
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    return order, group[first], np.append(first, len(ids))
+
+
+def _log_probabilities(w: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    order, groups, cuts = _by_group(ids)
+    (_, h), t, at = _near(w, around[order]), ids[order], np.arange(len(ids))
+    x = h @ w["group"]
+    x += w["group_bias"]
+    own = np.clip(x[at, t // GROUPS], -BOUND, BOUND)
+    logs = own - np.log(_exp(x).sum(1))
+    for g, i, j in zip(groups.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        np.matmul(h[i:j], w["word"][g], out=x[i:j])
+        x[i:j] += w["word_bias"][g]
+    own = np.clip(x[at, t % GROUPS], -BOUND, BOUND)
+    logs += own - np.log(_exp(x).sum(1))
+    out = np.empty(len(ids))
+    out[order] = logs
     return out
 
 
-def learn(flat: np.ndarray, around: np.ndarray, ids: np.ndarray, rate: float = RATE) -> None:
-    """Stochastic gradient steps over masked positions, in place. A row of weights moves by the sum of its gradients
-    over the root of their number."""
-    w = _views(flat)
+def learn(flat: np.ndarray, around: np.ndarray, ids: np.ndarray, rate: float = RATE, sizes: np.ndarray | None = None) -> None:
+    """Stochastic gradient steps over masked positions, in place. Each weight moves by its mean gradient over the
+    positions that it has a part in, divided by the root of the sum of squares of all such (Adagrad), which ``sizes``,
+    as long as flat, holds from call to call."""
+    w, seen = _views(flat), _views(np.full(len(flat), START_SIZE, np.float32) if sizes is None else sizes)
     for i in range(0, len(ids), STEP):
-        c, t = around[i : i + STEP], ids[i : i + STEP]
-        order = np.argsort(t, kind="stable")
-        c, t = c[order], t[order]
-        group, within, n = t // GROUPS, t % GROUPS, len(t)
-        first = np.flatnonzero(np.diff(group, prepend=-1))
-        sizes, g = np.diff(first, append=n), group[first]
-        longest = sizes.max()
-        at = np.arange(n)
-        padded = np.repeat(np.arange(len(g)) * longest - first, sizes) + at  # groups as rows of one length
-        e = w["embed"][c]
-        h = (e * w["place"]).sum(1)
-        p = _soft(h @ w["group"] + w["group_bias"])
-        p[at, group] -= 1
-        hs = np.zeros((len(g) * longest, WIDTH), np.float32)
-        hs[padded] = h
-        hs, m = hs.reshape(len(g), longest, WIDTH), w["word"][g]
-        q = _soft((hs @ m).reshape(-1, GROUPS)[padded] + w["word_bias"][group])
-        q[at, within] -= 1
-        qs = np.zeros((len(g) * longest, GROUPS), np.float32)
-        qs[padded] = q
-        qs = qs.reshape(len(g), longest, GROUPS)
-        dh = p @ w["group"].T + (qs @ m.transpose(0, 2, 1)).reshape(-1, WIDTH)[padded]
-        r = (rate / np.sqrt(sizes)).astype(np.float32)
-        w["word"][g] -= r[:, None, None] * (hs.transpose(0, 2, 1) @ qs)
-        w["word_bias"][g] -= r[:, None] * qs.sum(1)
-        np.clip(dh, -1, 1, out=dh)
-        r = rate / n**0.5
-        w["group"] -= r * (h.T @ p)
-        w["group_bias"] -= r * p.sum(0)
-        near = c.ravel()
-        order = np.argsort(near, kind="stable")
-        first = np.flatnonzero(np.diff(near[order], prepend=-1))
-        sums = np.add.reduceat((dh[:, None, :] * w["place"]).reshape(-1, WIDTH)[order], first)
-        w["embed"][near[order][first]] -= rate * sums / np.sqrt(np.diff(np.append(first, len(near))))[:, None]
-        w["place"] -= 0.1 * r * np.einsum("njd,nd->jd", e, dh)
+        _step(w, seen, around[i : i + STEP], ids[i : i + STEP], np.float32(rate))
+
+
+def _move(weights: np.ndarray, seen: np.ndarray, grads: np.ndarray, rate: np.float32, rows=...) -> None:
+    """One Adagrad step of the given rows."""
+    total = seen[rows] + grads * grads
+    seen[rows] = total
+    np.sqrt(total, out=total)
+    grads /= total
+    grads *= rate
+    weights[rows] -= grads
+
+
+def _step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray, rate: np.float32) -> None:
+    order, groups, cuts = _by_group(ids)
+    c, t, n = around[order], ids[order], len(ids)
+    at, spans = np.arange(n), list(zip(groups.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    near, h = _near(w, c)
+    p = h @ w["group"]
+    p += w["group_bias"]
+    _exp(p)
+    p *= 1 / p.sum(1, keepdims=True)
+    p[at, t // GROUPS] -= 1
+    q = np.empty((n, GROUPS), np.float32)
+    for g, i, j in spans:
+        np.matmul(h[i:j], w["word"][g], out=q[i:j])
+        q[i:j] += w["word_bias"][g]
+    _exp(q)
+    q *= 1 / q.sum(1, keepdims=True)
+    q[at, t % GROUPS] -= 1
+    dh = p @ w["group"].T
+    grads, back = np.empty((len(groups), WIDTH, GROUPS), np.float32), np.empty((n, WIDTH), np.float32)
+    for k, (g, i, j) in enumerate(spans):
+        np.matmul(h[i:j].T, q[i:j], out=grads[k])
+        np.matmul(q[i:j], w["word"][g].T, out=back[i:j])
+    dh += back
+    many = (1 / np.diff(cuts)).astype(np.float32)
+    grads *= many[:, None, None]
+    _move(w["word"], seen["word"], grads, rate, groups)
+    _move(w["word_bias"], seen["word_bias"], np.add.reduceat(q, cuts[:-1]) * many[:, None], rate, groups)
+    _move(w["group"], seen["group"], h.T @ p / np.float32(n), rate)
+    _move(w["group_bias"], seen["group_bias"], p.mean(0), rate)
+    words = c.T.ravel()  # place after place
+    moved = np.concatenate([dh * w["place"][j] for j in range(2 * SIDE)])
+    order = np.argsort(words.astype(np.uint16), kind="stable")
+    words = words[order]
+    first = np.flatnonzero(np.diff(words, prepend=-1))
+    sums = np.add.reduceat(moved[order], first)
+    sums /= np.diff(first, append=len(words)).astype(np.float32)[:, None]
+    place = np.stack([np.einsum("nd,nd->d", e, dh) for e in near]) / np.float32(n)
+    _move(w["embed"], seen["embed"], sums, rate, words[first])
+    _move(w["place"], seen["place"], place, rate)
 
 
 def _parts(words: Words, texts: Iterator[str | None]) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
-    """(text, words of it), a padded row of ids and the places of the words in it, a bounded number at a time; parts of
-    one text overlap by the words that they need about them and count each word once."""
+    """(text, words of it), a padded row of ids and the places of the words in it, a bounded number at a time."""
+    for parts, row, own in _split(map(words.of, texts)):
+        yield [(k, n) for k, _, n in parts], row, own
+
+
+def _split(arrays: Iterator[np.ndarray]) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]]:
+    """(array, first place, places), a padded row of ids and the places in it, a bounded number at a time; parts of one
+    array overlap by the words that they need about them and count each word once."""
     held, size = [], 0
-    for k, text in enumerate(texts):
-        ids = words.of(text)
+    for k, ids in enumerate(arrays):
         for i in range(0, max(len(ids), 1), PART):
             a, b = max(0, i - SIDE), min(len(ids), i + PART + SIDE)
-            held.append((k, ids[a:b], i - a, min(len(ids), i + PART) - a))
+            held.append((k, i, ids[a:b], i - a, min(len(ids), i + PART) - a))
             size += b - a
             if size >= PART:
                 yield _joined(held)
@@ -205,14 +276,13 @@ def _parts(words: Words, texts: Iterator[str | None]) -> Iterator[tuple[list[tup
 
 def _joined(held):
     """Padding stands between texts, so what is about a word is a shift."""
-    size = sum(len(x[1]) + SIDE for x in held) + SIDE
+    size = sum(len(x[2]) + SIDE for x in held) + SIDE
     row, at, places = np.zeros(size, np.int32), SIDE, []
-    for _, ids, a, b in held:
+    for _, _, ids, a, b in held:
         row[at : at + len(ids)] = ids
         places.append(np.arange(at + a, at + b))
         at += len(ids) + SIDE
-    own = np.concatenate(places)
-    return [(x[0], x[3] - x[2]) for x in held], row, own
+    return [(x[0], x[1], x[4] - x[3]) for x in held], row, np.concatenate(places)
 
 
 _words: list[tuple[list, Words]] = []
@@ -224,79 +294,159 @@ def ids_of(frequent: list[str]) -> Words:
     return _words[0][1]
 
 
-#: The slice that holds occurrences of classes and not weights.
-TOTALS = -1
+def encoded(docs: DataFrame, frequent: list[str]) -> DataFrame:
+    """_row, doc_id, key (a hash of id and text), n_words, ids (two bytes each): docs as a written table."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = ids_of(shared.value)
+        for b in batches:
+            ids = [words.of(t.as_py()) for t in b.column(3)]
+            n = pa.array([len(x) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], n, pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], [*b.schema.names[:3], "n_words", "ids"])
 
-def _average(table: pa.Table) -> pa.Table:
-    """Weights averaged, occurrences added up."""
-    if table.column("slice")[0].as_py() == TOTALS:
-        added = sum(np.frombuffer(x, np.int64) for x in table.column("weights").to_pylist())
-        return pa.table({"slice": table.column("slice")[:1], "weights": pa.array([added.tobytes()], pa.binary())})
-    n = np.asarray(table.column("n").combine_chunks(), np.float64)
-    total = sum(w * np.frombuffer(x, np.float32) for w, x in zip(n, table.column("weights").to_pylist(), strict=True))
-    return pa.table({"slice": table.column("slice")[:1], "weights": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+    doc = F.col("doc_id" if "doc_id" in docs.columns else "_row").cast("long")
+    rows = docs.select("_row", doc.alias("doc_id"), F.xxhash64(doc, "text").alias("key"), "text")
+    path = work_path(docs.sparkSession, "ids")
+    rows.mapInArrow(run, "_row long, doc_id long, key long, n_words long, ids binary").write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
-def targets(ids: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Whether each place of a part is masked in round k: in one of the rounds, by a hash of the word and the place."""
-    at = np.arange(len(ids), dtype=np.uint64)
-    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(rounds) == k
+def _ids(raw) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), "<u2").astype(np.int32)
 
 
-def train(docs: DataFrame, frequent: list[str], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights after the given number of rounds over all documents, and the occurrences of each class."""
-    sc, flat, totals = docs.sparkSession.sparkContext, start(), np.zeros(CLASSES + 1, np.int64)
-    shared_words = sc.broadcast(frequent)
+def _sum(table: pa.Table) -> pa.Table:
+    table = table.sort_by("part")
+    total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("sums"))
+    return pa.table({"slice": table.column("slice")[:1], "part": table.column("up")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def added(parts: DataFrame, tasks: int) -> np.ndarray | None:
+    """parts (slice, part below tasks, sums: doubles) added up slice by slice, FAN at a time; the slices joined."""
+    while True:
+        up = F.floor(F.col("part") / FAN).cast("int").alias("up")
+        parts = parts.select("slice", "part", "sums", up).groupBy("slice", "up").applyInArrow(_sum, "slice int, part int, sums binary")
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            break
+    found = sorted((r["slice"], r["sums"]) for r in parts.collect())  # one array
+    return np.concatenate([np.frombuffer(x, np.float64) for _, x in found]) if found else None
+
+
+def _sliced(sums: np.ndarray) -> pa.RecordBatch:
+    parts = [sums[i : i + SLICE].tobytes() for i in range(0, len(sums), SLICE)]
+    n = len(parts)
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(parts, pa.binary())], ["slice", "part", "sums"])
+
+
+SUMS = "slice int, part int, sums binary"
+
+
+def occurrences(tokens: DataFrame) -> np.ndarray:
+    """Of each id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(VOCABULARY)
+        for b in batches:
+            for raw in b.column(0):
+                seen += np.bincount(_ids(raw), minlength=VOCABULARY)
+        if seen.any():
+            yield _sliced(seen)
+
+    found = added(tokens.select("ids").mapInArrow(run, SUMS), tokens.rdd.getNumPartitions())
+    return np.zeros(VOCABULARY, np.int64) if found is None else found.astype(np.int64)
+
+
+def targets(keys: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """Whether each position is masked in round k: in one of the rounds, by a hash of its key."""
+    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return (x * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(rounds) == k
+
+
+def position_keys(keys: list[int], parts: list[tuple[int, int, int]]) -> np.ndarray:
+    """A key for each place of parts, from the keys of their documents and the positions there."""
+    starts = [(keys[k] + i * 0x165667B19E3779F9) % (1 << 64) for k, i, _ in parts]
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.uint64(s) + np.arange(n, dtype=np.uint64) * np.uint64(0x165667B19E3779F9) for s, (_, _, n) in zip(starts, parts, strict=True)])
+
+
+def pass_over(flat: np.ndarray, documents: Iterator[tuple[int, np.ndarray]], k: int, rounds: int) -> tuple[np.ndarray, int]:
+    """Weights after a pass of gradient steps over a group's (key, ids), and the number of positions."""
+    own, sizes, n, keys = flat.copy(), np.full(len(flat), START_SIZE, np.float32), 0, []
+
+    def arrays():
+        for key, ids in documents:
+            keys.append(key)
+            yield ids
+
+    for parts, row, places in _split(arrays()):
+        masked = targets(position_keys(keys, parts), k, rounds)
+        at = places[masked]
+        learn(own, row[at[:, None] + OFFSETS], row[at], RATE / (1 + k), sizes)
+        n += len(at)
+    return own, n
+
+
+def fit(tokens: DataFrame, rounds: int = ROUNDS, group_words: int = GROUP_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights after the given number of rounds over all of ``encoded``, and the occurrences of each class."""
+    sc, flat, seen = tokens.sparkSession.sparkContext, start(), occurrences(tokens)
+    groups = max(1, -(-int(seen.sum()) // group_words))
+    tasks = min(groups, TASKS)
+    w, counts = _views(flat), seen.reshape(GROUPS, GROUPS) + 0.5
+    w["group_bias"][:] = np.log(counts.sum(1) / counts.sum())
+    w["word_bias"][:] = np.log(counts / counts.sum(1, keepdims=True))
+    group = F.pmod("key", F.lit(groups).cast("long")).alias("group")
+    dealt = tokens.where("n_words > 0").select(group, "key", "ids").repartitionById(tasks, F.pmod("group", F.lit(tasks).cast("long")).cast("int"))
+    dealt = dealt.sortWithinPartitions("group", "key", "ids")
     for k in range(rounds):
-        shared, rate = sc.broadcast(flat), RATE / (1 + k)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate, k=k) -> Iterator[pa.RecordBatch]:
-            words, own, n, seen = ids_of(shared_words.value), shared.value.copy(), 0, np.zeros(CLASSES + 1, np.int64)
-            for b in batches:
-                for _, row, own_places in _parts(words, (t.as_py() for t in b.column(0))):
-                    ids = row[own_places]
-                    seen += np.bincount(ids[ids <= CLASSES], minlength=CLASSES + 1)
-                    masked = targets(ids, k, rounds)
-                    learn(own, row[own_places[masked][:, None] + OFFSETS], ids[masked], rate)
-                    n += int(masked.sum())
-            if n or seen.any():
-                parts = [own[i : i + SLICE].tobytes() for i in range(0, len(own), SLICE)] if n else []
-                at, parts = [*range(len(parts)), TOTALS], [*parts, seen.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["slice", "n", "weights"])
-
-        found = docs.select("text").mapInArrow(run, "slice int, n long, weights binary").groupBy("slice").applyInArrow(_average, "slice int, weights binary").collect()  # one model
-        parts = {r["slice"]: r["weights"] for r in found}
-        totals = np.frombuffer(parts.pop(TOTALS, totals.tobytes()), np.int64)
-        if parts:
-            flat = np.concatenate([np.frombuffer(parts[i], np.float32) for i in sorted(parts)])
-    return flat, totals
-
-
-def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+        shared = sc.broadcast(flat)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
+            rows = ((g, key, _ids(raw)) for b in batches for g, key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
+            sums = np.zeros(len(shared.value) + 1)
+            for _, documents in groupby(rows, key=itemgetter(0)):
+                own, n = pass_over(shared.value, ((key % (1 << 64), ids) for _, key, ids in documents), k, rounds)
+                sums[:-1] += n * own.astype(np.float64)
+                sums[-1] += n
+            if sums[-1]:
+                yield _sliced(sums)
+
+        found = added(dealt.mapInArrow(run, SUMS), tasks)
+        if found is not None:
+            flat = (found[:-1] / found[-1]).astype(np.float32)
+    return flat, seen[: CLASSES + 1]
+
+
+def train(docs: DataFrame, frequent: list[str], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """fit() of documents."""
+    return fit(encoded(docs, frequent), rounds)
+
+
+def scores(docs: DataFrame, rounds: int = ROUNDS, group_words: int = GROUP_WORDS) -> DataFrame:
     """doc_id, n_words, log_likelihood (natural, summed over the words), mean_log_likelihood."""
     docs = cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "text"))
     frequent = vocabulary(docs)
-    sc = docs.sparkSession.sparkContext
-    flat, totals = train(docs, frequent, rounds)
+    tokens = encoded(docs, frequent)
+    flat, totals = fit(tokens, rounds, group_words)
     spread = np.zeros(VOCABULARY)
     spread[: CLASSES + 1] = np.log(np.maximum(totals, 1))
-    shared_words, shared = sc.broadcast(frequent), sc.broadcast((flat, spread))
+    shared = docs.sparkSession.sparkContext.broadcast((flat, spread))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (flat, spread) = ids_of(shared_words.value), shared.value
+        flat, spread = shared.value
         for b in batches:
-            n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for texts, row, own in _parts(words, (t.as_py() for t in b.column(2))):
-                ids, i = row[own], 0
-                logs = log_probabilities(flat, row[own[:, None] + OFFSETS], ids) - spread[ids]
-                for k, m in texts:
-                    n[k] += m
+            total = np.zeros(b.num_rows)
+            for parts, row, places in _split(map(_ids, b.column(3))):
+                ids, i = row[places], 0
+                logs = log_probabilities(flat, row[places[:, None] + OFFSETS], ids) - spread[ids]
+                for k, _, m in parts:
                     total[k] += float(logs[i : i + m].sum())
                     i += m
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(total)], ["_row", "doc_id", "n_words", "in_class"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(total)], ["_row", "doc_id", "n_words", "in_class"])
 
-    scored = docs.mapInArrow(run, "_row long, doc_id long, n_words long, in_class double")
+    scored = tokens.select("_row", "doc_id", "n_words", "ids").mapInArrow(run, "_row long, doc_id long, n_words long, in_class double")
     total = F.col("in_class") + F.coalesce("log_n", F.lit(0.0))
     out = scored.join(rare_counts(docs, frequent), "_row", "left").select("doc_id", "n_words", total.alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
