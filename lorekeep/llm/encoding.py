@@ -1,5 +1,5 @@
 """Exact tokenization with a memo: texts are cut where the tokenizer itself always cuts, and each distinct piece is
-encoded once for each Python worker."""
+looked up once for many texts together, in a memo that a Python worker keeps."""
 
 from __future__ import annotations
 
@@ -7,16 +7,28 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import compress
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces in each of the two generations of a worker's memo. When one is full the older is forgotten; that costs time
 #: for pieces that come back, and changes nothing.
 MEMO_PIECES = 400_000
+#: A piece enters the memo when it comes for the second time, as far as a table of this many marks can tell; when a
+#: third of them are set, all are cleared.
+MARKS = 1 << 22
 #: Runs of symbols that a worker remembers.
-KNOWN_MARKS = 50_000
+KNOWN_SYMBOLS = 50_000
 #: The name of the space in byte-level vocabularies.
 _SPACE_NAME = "\u0120"
 #: Characters of a text that are worked on at once.
 SEGMENT = 1 << 20
+#: Bytes of texts that are cut into pieces together.
+TOGETHER_BYTES = 8 << 20
+#: Stand at the start and the end of a text, so that its first piece is known and the end id is a piece of its own.
+_FIRST, _LAST = "\x00", "\x01"
 #: White space that is neither a space nor a line feed, and white space that stands together.
 _OTHER_BLANKS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 _ASCII_BLANKS = "".join(filter(str.isascii, _OTHER_BLANKS))
@@ -53,14 +65,6 @@ def _even(text: str) -> bool:
     return not (text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _TOGETHER) or any(x in text for x in others))
 
 
-class _Memo(dict):
-    def __init__(self, learn):
-        self.learn = learn
-
-    def __missing__(self, piece):
-        return self.learn(piece)
-
-
 class Encoder:
     """ids(text): the ids of a text and an end id 0, as little-endian unsigned 32-bit integers.
 
@@ -78,15 +82,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.model, self.names = self.tokenizer.model, _byte_names()
-        self.word_level, self.memo, self.older = word_level, _Memo(self._learn), {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.tokenize, self.names = self.tokenizer.model.tokenize, _byte_names()
+        #: What byte-level vocabularies call the letters of _PLAIN.
+        self.letters = {c: chr(c).encode().decode("latin-1").translate(self.names) for c in range(0xC0, 0x250)}
+        self.word_level, self.memo, self.older = word_level, {_LAST: _END}, {}
+        self.symbols: dict[str, bytes] = {"": b""}
+        self.seen, self.n_seen = np.zeros(MARKS, bool), 0
         self.line_feed = self._encode(["\n"])[0]
         added = [] if special_as_text else [*self.tokenizer.get_added_tokens_decoder().items()]
         #: A token that takes the blanks about it, or is sought in normalised text, forbids any cut.
         self.uncut = any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added)
         self.special = {t.content: array("I", [i]).tobytes() for i, t in added}
         longest_first = sorted(self.special, key=len, reverse=True)
+        odd = [re.escape(_FIRST), re.escape(_LAST), *map(re.escape, self.special)]
+        if not word_level:
+            odd += [r"^[ \n]", r"[ \n]$", r"[ \n][ \n]", f"[{re.escape(_OTHER_BLANKS)}]"]
+        #: In RE2's syntax: texts that are encoded one by one.
+        self.odd = "|".join(odd)
         self.special_cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -95,19 +107,18 @@ class Encoder:
     def _model(self, pre_token: str) -> bytes:
         if not pre_token.isascii():
             pre_token = pre_token.encode().decode("latin-1").translate(self.names)
-        return array("I", [t.id for t in self.model.tokenize(pre_token)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(pre_token)]).tobytes()
 
     def _word(self, letters: str, lead: str) -> bytes:
         """Ids of letters alone, after a space or after nothing."""
-        if letters.isascii():
-            tokens = self.model.tokenize(_SPACE_NAME + letters if lead else letters)
-            return array("I", [t.id for t in tokens]).tobytes()
-        return self._model(lead + letters)
+        if not letters.isascii():
+            letters = letters.translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(_SPACE_NAME + letters if lead else letters)]).tobytes()
 
-    def _plain(self, piece) -> bytes | None:
+    def _plain(self, piece: str) -> bytes | None:
         """The ids of a piece of plain letters and symbols; None for any other piece."""
         if self.word_level:
-            text, head, lead = piece.decode().lower(), b"", ""
+            text, head, lead = piece.lower(), b"", ""
         elif piece[:1] == "\n":
             text, head, lead = piece[1:], self.line_feed, ""
         else:
@@ -115,33 +126,55 @@ class Encoder:
         m = _PLAIN.fullmatch(text)
         if m is None:
             return None
-        letters, marks = m.groups()
-        if not marks:
+        letters, symbols = m.groups()
+        if not symbols:
             return head + self._word(letters, lead)
-        key = letters.encode() if self.word_level else letters if lead else "\n" + letters
-        first = self.memo.get(key) or self.older.get(key)
-        if first is None:
-            first = self.memo[key] = head + self._word(letters, lead)
-        end = self.marks.get(marks)
+        key = "\n" + letters if head else letters
+        first = self.memo.get(key) or head + self._word(letters, lead)
+        end = self.symbols.get(symbols)
         if end is None:
-            if len(self.marks) >= KNOWN_MARKS:
-                self.marks.clear()
-            end = self.marks[marks] = self._model(marks)
+            if len(self.symbols) >= KNOWN_SYMBOLS:
+                self.symbols.clear()
+            end = self.symbols[symbols] = self._model(symbols)
         return first + end
 
-    def _learn(self, piece) -> bytes:
-        """The ids of a piece that the memo doesn't hold."""
-        found = self.older.get(piece)
-        if found is None:
-            found = self._plain(piece)
-        if found is None:
-            text = piece.decode() if self.word_level else piece if piece[:1] == "\n" else " " + piece
-            found = self._encode([text])[0]
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, from the memo or anew."""
+        found = list(map(self.memo.get, pieces))
+        missing = [i for i, f in enumerate(found) if f is None]
+        if not missing:
+            return found
+        names = [pieces[i] for i in missing]
+        old = list(map(self.older.get, names))
+        tokenize, lead, plain, others = self.tokenize, "" if self.word_level else _SPACE_NAME, self._plain, []
+        for k, name in enumerate(names):
+            if old[k] is None:
+                if name.isascii() and name.isalpha():
+                    old[k] = array("I", [t.id for t in tokenize(lead + name)]).tobytes()
+                else:
+                    old[k] = plain(name)
+                    if old[k] is None:
+                        others.append(k)
+        for k, raw in zip(others, self._encode([self._as_text(names[k]) for k in others]), strict=True):
+            old[k] = raw
+        for i, raw in zip(missing, old, strict=True):
+            found[i] = raw
+        marks = np.fromiter(map(hash, names), np.int64, len(names)) % MARKS
+        again = self.seen[marks]
+        self.seen[marks] = True
+        self.n_seen += len(names) - int(again.sum())
+        if self.n_seen > MARKS // 3:
+            self.seen[:], self.n_seen = False, 0
         if len(self.memo) >= MEMO_PIECES:
-            self.memo, self.older = _Memo(self._learn), self.memo
-        self.memo[piece] = found
+            self.memo, self.older = {_LAST: _END}, self.memo
+        self.memo.update(compress(zip(names, old, strict=True), again))
         return found
 
+    def _as_text(self, piece: str) -> str:
+        if piece[:1] == _FIRST:
+            return piece[1:]
+        return piece if self.word_level or piece[:1] == "\n" else " " + piece
+
     def _segments(self, text: str) -> Iterator[list]:
         """The pieces of a text, a bounded part of it at a time."""
         if not self.word_level:
@@ -150,7 +183,7 @@ class Encoder:
         while i < len(text):
             m = blank.search(text, i + SEGMENT)
             j = m.start() if m else len(text)
-            yield text[i:j].encode().lower().split() if self.word_level else text[i:j].split(" ")
+            yield [x.decode() for x in text[i:j].encode().lower().split()] if self.word_level else text[i:j].split(" ")
             i = j if self.word_level else j + 1
 
     def _whole(self, text: str) -> bytes:
@@ -170,14 +203,60 @@ class Encoder:
             return b"".join(self.special.get(part) or self._ordinary(part) for part in self.special_cut.split(text)) + _END
         return self._ordinary(text) + _END
 
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids() of all texts, one after the other, and where each begins, with the end."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        sizes = np.asarray(pc.binary_length(texts))
+        ids, lengths, i = [], [], 0
+        while i < len(texts):
+            j = i + max(1, int(np.searchsorted(np.cumsum(sizes[i:]), TOGETHER_BYTES, side="right")))
+            part = texts[i:j]
+            found = self._one_by_one(part) if self.uncut or sizes[i] > TOGETHER_BYTES else self._together(part)
+            ids.append(found[0])
+            lengths.append(np.diff(found[1]))
+            i = j
+        ends = np.cumsum(np.concatenate([[0], *lengths])).astype(np.int64)
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), ends
+
+    def _one_by_one(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = [self.ids(t.as_py()) for t in texts]
+        return np.frombuffer(b"".join(raw), "<i4"), np.cumsum([0, *(len(r) // 4 for r in raw)])
+
+    def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each distinct piece of the texts is looked up once, and its ids are taken as often as it stands there."""
+        odd = pc.match_substring_regex(texts, self.odd)
+        apart, whole = np.flatnonzero(np.asarray(odd)), texts
+        if len(apart):
+            texts = pc.if_else(odd, "", texts)
+        if self.word_level:
+            cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.binary_join_element_wise(texts, _LAST, " ")))
+        else:
+            texts = pc.binary_join_element_wise(_FIRST, texts, " ", _LAST, "")
+            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        pieces = cut.flatten().dictionary_encode()
+        known = self._look_up(pieces.dictionary.to_pylist())
+        ends = np.cumsum(np.fromiter(map(len, known), np.int32, len(known)) // 4, dtype=np.int32)
+        each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(known), "<i4")))
+        taken = each.take(pieces.indices)
+        offsets = np.asarray(cut.offsets)
+        ids, begins = np.asarray(taken.values), np.asarray(taken.offsets)[offsets - offsets[0]].astype(np.int64)
+        if not len(apart):
+            return ids, begins
+        parts, lengths, k = [], np.diff(begins), 0
+        for i in apart:
+            own = np.frombuffer(self.ids(whole[int(i)].as_py()), "<i4")
+            parts += [ids[begins[k] : begins[i]], own]
+            lengths[i], k = len(own), i + 1
+        return np.concatenate([*parts, ids[begins[k] :]]), np.cumsum(np.concatenate([[0], lengths]))
+
     def _ordinary(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
-        if not self.word_level and not _even(text):
+        if _FIRST in text or _LAST in text or (not self.word_level and not _even(text)):
             return self._whole(text)
         out = []
         for pieces in self._segments(text):
             if not self.word_level and not out:  # nothing stands before the first word
                 out += self._encode(pieces[:1])
                 pieces = pieces[1:]
-            out.append(b"".join(map(self.memo.__getitem__, pieces)))
+            out += self._look_up(pieces)
         return b"".join(out)

@@ -34,11 +34,11 @@ def _cut(path: str, size: int):
         memo = encoder(path, word_level=True)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = memo.ids(text.as_py())
-                for k, i in enumerate(range(0, len(raw), 4 * size)):
-                    part = raw[i : i + 4 * size]
-                    rows.append((doc, k, i // 4, len(part) // 4, zlib.crc32(part)))
+            ids, begins = memo.batch(batch.column(1))
+            for doc, a, b in zip(batch.column(0).to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                for k, i in enumerate(range(a, b, size)):
+                    part = ids[i : min(b, i + size)]
+                    rows.append((doc, k, i - a, len(part), zlib.crc32(part)))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])

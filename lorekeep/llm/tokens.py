@@ -26,9 +26,9 @@ from lorekeep.llm.common import work_path
 from lorekeep.llm.encoding import encoder
 
 STORED = "doc_id long, shard int, place long, first long, n_tokens long, ids array<int>"
-#: Row groups of 32 MB; pages of 256 KB or 2,000 rows; dictionaries that hold any vocabulary of 64k ids.
+#: Row groups of 32 MB, pages of 256 KB or 2,000 rows, dictionaries that hold any vocabulary of 64k ids.
+ROW_GROUP_BYTES = 32 << 20
 LAYOUT = {
-    "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
     "parquet.enable.dictionary": "true",
@@ -36,7 +36,7 @@ LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",
     "compression": "zstd",
 }
-#: Bytes of ids that one outgoing Arrow batch gathers before it is sent.
+#: Bytes of ids in one outgoing Arrow batch, or else one document.
 BATCH_BYTES = 8 << 20
 
 
@@ -45,35 +45,24 @@ def _encode(path: str):
         shard, first, place = TaskContext.get().partitionId(), 0, 0
         memo = encoder(path, word_level=False)
         names = ["doc_id", "shard", "place", "first", "n_tokens", "ids"]
-        kept: list[tuple] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(r[4] for r in kept), dtype="<i4")
-            ends = np.cumsum([0] + [r[3] for r in kept]).astype(np.int32)
-            cols = [pa.array([r[0] for r in kept], pa.int64()), pa.array([shard] * len(kept), pa.int32())]
-            cols += [pa.array([r[i] for r in kept], pa.int64()) for i in (1, 2, 3)]
-            return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names)
-
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = memo.ids(text.as_py())
-                n = len(raw) // 4
-                kept.append((doc, place, first, n, raw))
-                place, first, size = place + 1, first + n, size + len(raw)
-                if size >= BATCH_BYTES:
-                    yield out()
-                    kept, size = [], 0
-        if kept:
-            yield out()
+            ids, begins = memo.batch(batch.column(1))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(begins, begins[i] + BATCH_BYTES // 4, side="right")) - 1)
+                flat, ends = ids[begins[i] : begins[j]], (begins[i : j + 1] - begins[i]).astype(np.int32)
+                cols = [batch.column(0)[i:j], pa.array(np.full(j - i, shard, np.int32)), pa.array(np.arange(place + i, place + j)), pa.array(first + begins[i:j]), pa.array(np.diff(begins[i : j + 1]))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names)
+                i = j
+            place, first = place + batch.num_rows, first + int(begins[-1])
 
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
+def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
     """Encode docs (doc_id, text) into the file format at path."""
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(_encode(tokenizer_path), STORED).write.options(**LAYOUT).parquet(path)
+    ranged.mapInArrow(_encode(tokenizer_path), STORED).write.options(**LAYOUT, **{"parquet.block.size": str(row_group_bytes)}).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,12 @@
+import glob
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -33,6 +36,52 @@ def test_encoder_equals_the_tokenizer(monkeypatch, path, word_level, special_as_
         assert own.ids(s) == want(s), repr(s)
 
 
+@pytest.mark.parametrize(("path", "word_level"), [(BYTE, False), (WORD, True)])
+def test_texts_together_equal_the_tokenizer(monkeypatch, path, word_level):
+    monkeypatch.setattr(encoding, "MEMO_PIECES", 50)
+    monkeypatch.setattr(encoding, "MARKS", 1 << 8)
+    rng, own, want = random.Random(9), encoding.Encoder(path, word_level), plain(path)
+    odd = ["a", "The", " ", "\n", "  ", "\t", "é", "\x00", "\x01", "don't", "<|endoftext|>", "12", "İ", "中文", "x###", ", ", "Foo ", "bar\n", " baz", "\u00a0"]
+    for together in (1, 40, 300, 1 << 20):
+        monkeypatch.setattr(encoding, "TOGETHER_BYTES", together)
+        for _ in range(25):
+            texts = [None if rng.random() < 0.1 else "".join(rng.choice(odd if rng.random() < 0.3 else odd[-6:-1]) for _ in range(rng.choice([0, 1, 5, 30]))) for _ in range(rng.choice([0, 1, 2, 20]))]
+            ids, begins = own.batch(pa.array(texts, pa.string()))
+            assert [ids[a:b].astype("<u4").tobytes() for a, b in zip(begins, begins[1:])] == [want(t) for t in texts]
+            sliced, begins = own.batch(pa.array(["zz", *texts, "q"], pa.string())[1:-1])
+            assert sliced.tolist() == ids.tolist()
+
+
+def test_file_layout_and_selective_reads(spark, sf, tmp_path):
+    """Encodings, indexes and bounded row groups of the files; reads of one column and of few documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 1000)).unionByName(docs.withColumn("doc_id", docs.doc_id + 2000))
+    tokens.write_tokens(docs, BYTE, f"{tmp_path}/t", row_group_bytes=200_000)
+    files = sorted(glob.glob(f"{tmp_path}/t/*.parquet"))
+    last, groups, want, encode = -1, 0, {r.doc_id: r.text for r in docs.collect()}, plain(BYTE)
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        columns = {meta.schema.column(i).path.split(".")[0]: i for i in range(meta.num_columns)}
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            ids, ahead = group.column(columns["ids"]), group.column(columns["first"])
+            assert "RLE_DICTIONARY" in ids.encodings and ids.has_dictionary_page
+            assert "DELTA_BINARY_PACKED" in ahead.encodings or "RLE_DICTIONARY" in ahead.encodings
+            assert ids.has_offset_index and group.column(columns["doc_id"]).has_column_index and group.column(columns["doc_id"]).has_offset_index
+            assert group.num_rows == 1 or group.total_byte_size < 4 * 200_000
+            low = group.column(columns["doc_id"]).statistics
+            assert last < low.min <= low.max
+            last = low.max
+        groups += meta.num_row_groups
+    assert groups > 2 * len(files)
+    stored = tokens.read_tokens(spark, f"{tmp_path}/t")
+    some = stored.where("doc_id in (7, 1150)").select("doc_id", "ids")
+    assert {r.doc_id: np.array(r.ids, "<u4").tobytes() for r in some.collect()} == {i: encode(want[i]) for i in (7, 1150)}
+    plan = stored.select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan
+    assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().executedPlan().toString()
+
+
 def check_tokens(rows, docs):
     """docs: (id, text) in the order of the files."""
     want, start, encode = [], 0, plain(BYTE)
