@@ -19,9 +19,10 @@ and the driver gets one model. What is gathered follows the corpus: the occurren
 for each group and round. The network has a fixed size; the counts of words do not, and never come to the driver.
 
 Scoring is one pass: the log-probability of every word of a document from both sides, less log(occurrences) of its
-class, summed. log(occurrences) of the words themselves is added up natively: the occurrences are dealt by word, counted
-and summed for each row. None of these words is hot: it has less than one in ``VOCABULARY - CLASSES - 1`` of all words,
-or in ``RAREST``.
+class, summed. log(occurrences) of the words themselves is added: of words that make up at least one in ``KNOWN`` of all
+words, so no more than that many, by a table that is broadcast; of all others natively, where the occurrences are dealt
+by word, counted and summed for each row. None of those is hot. Words of more than ``LONG`` bytes are counted under their
+SHA-256, and stand in its class, which bounds the table's bytes.
 
 Cases: null, empty and blank texts have no words, likelihood 0 and a null mean. Repeated rows are scored row by row, and
 all train. Texts of any length are scored whole, a bounded part at a time. Extra columns are ignored. An empty table
@@ -30,12 +31,14 @@ gives no rows; without any word the model is its start.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,8 +59,9 @@ START_SIZE = 1e-4
 #: Words of a group of documents that is trained on by itself, and tasks that train at most.
 GROUP_WORDS = 2_000_000
 TASKS = 20_000
-#: A word of the vocabulary makes up at least one in so many of all words.
-RAREST = 1 << 18
+#: A word whose occurrences are broadcast makes up at least one in so many of all words.
+KNOWN = 1 << 20
+LONG = 64
 #: Arrays that are added up in one task.
 FAN = 128
 #: Positions whose probabilities are computed at once.
@@ -65,54 +69,70 @@ BLOCK = 4096
 #: Words that are worked on at once.
 PART = 1 << 16
 #: Classes of rare words that a worker remembers.
-KNOWN = 200_000
+REMEMBERED = 200_000
 
 
 def _occurrences(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.select(*columns, F.explode(F.split(F.coalesce("text", F.lit("")), WHITE_SPACE)).alias("w")).where("w <> ''")
+    word = F.when(F.octet_length("w") > LONG, F.sha2("w", 256)).otherwise(F.col("w"))
+    split = docs.select(*columns, F.explode(F.split(F.coalesce("text", F.lit("")), WHITE_SPACE)).alias("w"))
+    return split.where("w <> ''").select(*columns, word.alias("w"))
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The most frequent words, ties by the word: a fixed number at most, of those that make up one in RAREST of all
-    words. No more than RAREST words can, which bounds what is sorted and sent."""
+def known_words(docs: DataFrame) -> list[tuple[str, int]]:
+    """Words that make up at least one in KNOWN of all words, so no more than that many, with their occurrences; the most
+    frequent first, ties by the word."""
     counts = cut(_occurrences(docs).groupBy("w").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.where(F.col("n") >= total / RAREST).orderBy(F.desc("n"), "w").limit(VOCABULARY - CLASSES - 1)
-    return [r["w"] for r in top.collect()]
+    rows = counts.where(F.col("n") >= total / KNOWN).collect()
+    return sorted(((r["w"], r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
-def rare_counts(docs: DataFrame, frequent: list[str]) -> DataFrame:
-    """_row, log_n: the logs of the corpus-wide counts of the words outside the vocabulary, summed over a row's words.
-    Words that occur once add nothing and may leave a row out."""
-    known = docs.sparkSession.createDataFrame([(w,) for w in frequent], "w string")
-    rare = _occurrences(docs, "_row").join(F.broadcast(known), "w", "left_anti")
+def vocabulary(known: list[tuple[str, int]]) -> list[str]:
+    """The most frequent words, a fixed number at most."""
+    return [w for w, _ in known[: VOCABULARY - CLASSES - 1]]
+
+
+def rare_counts(docs: DataFrame, known: list[str]) -> DataFrame:
+    """_row, log_n: the logs of the corpus-wide counts of the words that are not known, summed over a row's words. Words
+    that occur once add nothing and may leave a row out."""
+    known = docs.sparkSession.createDataFrame([(w,) for w in known], "w string")
+    rare = _occurrences(docs, "_row").join(F.broadcast(known), "w", "left_anti")  # KNOWN rows of LONG bytes at most
     counted = rare.withColumn("n", F.count("*").over(Window.partitionBy("w"))).where("n > 1")
     return counted.groupBy("_row").agg(F.sum(F.log("n")).alias("log_n"))
 
 
 class Words:
-    """Ids of words."""
+    """Ids of words; known: words outside the vocabulary with their occurrences."""
 
-    def __init__(self, frequent: list[str]):
+    def __init__(self, frequent: list[str], known: list[tuple[str, int]] = ()):
         import xxhash
 
         self.ids = {w.encode(): CLASSES + 1 + i for i, w in enumerate(frequent)}
-        self.rare: dict[bytes, int] = {}
         self._class = lambda w: 1 + xxhash.xxh32_intdigest(w[-3:]) % CLASSES
+        self.ids |= {w.encode(): VOCABULARY + i for i, (w, _) in enumerate(known)}
+        self.class_of = np.concatenate([np.arange(VOCABULARY), [self._class(w.encode()) for w, _ in known]]).astype(np.int32)
+        self.logs = np.concatenate([np.zeros(VOCABULARY), np.log([n for _, n in known])])
+        self.rare: dict[bytes, int] = {}
 
     def _rare(self, w: bytes) -> int:
-        if len(self.rare) >= KNOWN:
+        if len(self.rare) >= REMEMBERED:
             self.rare.clear()
-        k = self.rare[w] = self._class(w)
+        key = hashlib.sha256(w).hexdigest().encode() if len(w) > LONG else w
+        k = self.rare[w] = self.ids.get(key) or self._class(key)
         return k
 
-    def of(self, text: str | None) -> np.ndarray:
+    def encode(self, text: str | None) -> tuple[np.ndarray, float]:
+        """The ids, and the logs of the occurrences of the known words outside the vocabulary, summed."""
         words = (text or "").encode().split()
         ids = list(map(self.ids.get, words))
         if None in ids:
             rare = self.rare
             ids = [k if k is not None else rare.get(w) or self._rare(w) for k, w in zip(ids, words, strict=True)]
-        return np.array(ids, np.int32)
+        ids = np.array(ids, np.int32)
+        return self.class_of[ids], float(self.logs[ids].sum())
+
+    def of(self, text: str | None) -> np.ndarray:
+        return self.encode(text)[0]
 
 
 SHAPES = {"embed": (VOCABULARY, WIDTH), "place": (2 * SIDE, WIDTH), "group": (WIDTH, GROUPS), "group_bias": (GROUPS,), "word": (GROUPS, WIDTH, GROUPS), "word_bias": (GROUPS, GROUPS)}
@@ -285,30 +305,33 @@ def _joined(held):
     return [(x[0], x[1], x[4] - x[3]) for x in held], row, np.concatenate(places)
 
 
-_words: list[tuple[list, Words]] = []
+_words: list[tuple[tuple, Words]] = []
 
 
-def ids_of(frequent: list[str]) -> Words:
-    if not _words or _words[0][0] is not frequent:
-        _words[:] = [(frequent, Words(frequent))]
+def ids_of(shared: tuple[list[str], list[tuple[str, int]]]) -> Words:
+    """The worker's Words of a broadcast value."""
+    if not _words or _words[0][0] is not shared:
+        _words[:] = [(shared, Words(*shared))]
     return _words[0][1]
 
 
-def encoded(docs: DataFrame, frequent: list[str]) -> DataFrame:
-    """_row, doc_id, key (a hash of id and text), n_words, ids (two bytes each): docs as a written table."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def encoded(docs: DataFrame, frequent: list[str], known: list[tuple[str, int]] = ()) -> DataFrame:
+    """_row, doc_id, key (a hash of id and text), n_words, known_log (the logs of the occurrences of its known words
+    outside the vocabulary, summed), ids (two bytes each): docs as a written table."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ids_of(shared.value)
         for b in batches:
-            ids = [words.of(t.as_py()) for t in b.column(3)]
-            n = pa.array([len(x) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], n, pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], [*b.schema.names[:3], "n_words", "ids"])
+            found = [words.encode(t.as_py()) for t in b.column(3)]
+            n, logs = pa.array([len(x) for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.float64())
+            ids = pa.array([x.astype("<u2").tobytes() for x, _ in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], n, logs, ids], [*b.schema.names[:3], "n_words", "known_log", "ids"])
 
     doc = F.col("doc_id" if "doc_id" in docs.columns else "_row").cast("long")
     rows = docs.select("_row", doc.alias("doc_id"), F.xxhash64(doc, "text").alias("key"), "text")
     path = work_path(docs.sparkSession, "ids")
-    rows.mapInArrow(run, "_row long, doc_id long, key long, n_words long, ids binary").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, "_row long, doc_id long, key long, n_words long, known_log double, ids binary").write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -427,8 +450,11 @@ def train(docs: DataFrame, frequent: list[str], rounds: int = ROUNDS) -> tuple[n
 def scores(docs: DataFrame, rounds: int = ROUNDS, group_words: int = GROUP_WORDS) -> DataFrame:
     """doc_id, n_words, log_likelihood (natural, summed over the words), mean_log_likelihood."""
     docs = cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "text"))
-    frequent = vocabulary(docs)
-    tokens = encoded(docs, frequent)
+    known = known_words(docs)
+    frequent = vocabulary(known)
+    chosen = set(frequent)
+    others = [(w, n) for w, n in known if w not in chosen]
+    tokens = encoded(docs, frequent, others)
     flat, totals = fit(tokens, rounds, group_words)
     spread = np.zeros(VOCABULARY)
     spread[: CLASSES + 1] = np.log(np.maximum(totals, 1))
@@ -444,9 +470,9 @@ def scores(docs: DataFrame, rounds: int = ROUNDS, group_words: int = GROUP_WORDS
                 for k, _, m in parts:
                     total[k] += float(logs[i : i + m].sum())
                     i += m
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(total)], ["_row", "doc_id", "n_words", "in_class"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pc.add(b.column(4), pa.array(total))], ["_row", "doc_id", "n_words", "in_class"])
 
-    scored = tokens.select("_row", "doc_id", "n_words", "ids").mapInArrow(run, "_row long, doc_id long, n_words long, in_class double")
+    scored = tokens.select("_row", "doc_id", "n_words", "ids", "known_log").mapInArrow(run, "_row long, doc_id long, n_words long, in_class double")
     total = F.col("in_class") + F.coalesce("log_n", F.lit(0.0))
-    out = scored.join(rare_counts(docs, frequent), "_row", "left").select("doc_id", "n_words", total.alias("log_likelihood"))
+    out = scored.join(rare_counts(docs, [*frequent, *(w for w, _ in others)]), "_row", "left").select("doc_id", "n_words", total.alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

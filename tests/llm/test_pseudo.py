@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -204,3 +205,18 @@ def test_trained_beats_chance_over_all_words(spark, sf, texts):
     distinct = {w for t in texts.values() for w in (t.text or "").encode().split()}
     trained = sum(r.log_likelihood for r in rows) / sum(r.n_words for r in rows)
     assert -math.log(len(distinct)) + 1 < trained < 0
+
+
+def test_long_words_and_unknown_words(spark, monkeypatch):
+    """Words over 64 bytes, and words that no table knows, get their corpus-wide shares too."""
+    monkeypatch.setattr(pseudo, "vocabulary", lambda known: ["the"])
+    long = "x" * 70 + "abc"
+    texts = ["xabc", "yabc", "xabc", long, long, long, "the xabc", f"the {long}", "yabc"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    every = {r.doc_id: r.log_likelihood for r in pseudo.scores(docs).collect()}
+    assert every[3] == every[4] == every[5] != every[0]
+    assert math.isclose(every[0] - every[1], math.log(3 / 2), abs_tol=1e-6)
+    monkeypatch.setattr(pseudo, "KNOWN", 3)
+    assert [w for w, _ in pseudo.known_words(docs)] == [hashlib.sha256(long.encode()).hexdigest()]
+    few = {r.doc_id: r.log_likelihood for r in pseudo.scores(docs).collect()}
+    assert all(math.isclose(every[i], few[i], abs_tol=1e-4) for i in every)
