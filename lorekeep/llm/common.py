@@ -27,6 +27,17 @@ def single_spaced(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?:[\t-\r]| (?=[ \t-\r]))[ \t-\r]*", " ")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def work_root(spark: SparkSession) -> str:
     """The folder that driver and executors share. A cluster must name it in spark.checkpoint.dir; only a local session
     gets a folder of its own."""
@@ -66,3 +77,13 @@ def unique_by(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     if not aggs:
         return df.select(*keys, spread).distinct().drop("_spread")
     return df.groupBy(*keys, spread).agg(*aggs).drop("_spread")
+
+
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each combination of keys (null is a value): the one whose columns, as strings, come first. What a task
+    holds of a combination is one row, so a hot one costs nothing."""
+    row, order = free_names(df, "_row_of_key", "_order_of_key")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    plain = F.array(*(F.coalesce(c.cast("string"), F.lit("")) for c in columns))
+    picked = df.select(*(F.col(f"`{k}`") for k in keys), F.struct(*columns).alias(row), plain.alias(order))
+    return picked.groupBy(*(f"`{k}`" for k in keys)).agg(F.min_by(row, order).alias(row)).select(f"`{row}`.*")

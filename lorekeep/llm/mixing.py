@@ -2,33 +2,43 @@
 
 Sizes are words. Sources, in code-point order and null last, get weights in turn; their targets share a multiple of all
 sizes by weight, none above ``most`` times its source (the excess goes to the others by weight until none is above).
-Within a source, documents follow each other in the order of a hash; that stream, passed as often as needed, is cut
-into blocks of equally many words. A target is a quota of blocks, the last one cut to its words. The root of the tree
-holds the quotas of all sources; a node deals its left child half of its blocks, drawn without replacement from the
-urn of its quotas, and the rest to its right child. The leaves are the output shards: each takes the next blocks of
-each source's permuted stream, as many as it was dealt, so blocks are disjoint and exactly the quotas are used. Within
-a shard, blocks are shuffled by a hash.
-
-Stream positions are prefix sums over hashed buckets, so a hot source is spread over ``BUCKETS`` groups and only the
-totals of buckets meet. Blocks grow with the corpus so that the tree holds about ``BLOCKS`` of them at any size. The
-tables that are handled in one task have a row for each source, or each block. All draws come from hashes of a seed,
-so reruns agree.
+Within a source, documents follow each other in the order of a hash, and a block is what begins in a stretch of equally
+many words of that stream: whole documents. A target is a quota of blocks: every block as often as the target holds its
+source whole, then blocks in the order of a keyed permutation of their numbers, the last one cut to its words. The root
+of the tree holds the quotas of all sources; a node deals its left child half of its blocks, drawn without replacement
+from the urn of its quotas, and the rest to its right child. The leaves are the output shards: each draws the next
+blocks of each source's permutation, as many as it was dealt, so their blocks are disjoint and exactly the quotas are
+used; a document is in the mix only by a block that a leaf drew. Within a shard, blocks are shuffled by a hash, and
+``mixed`` returns its documents shard by shard in that order.
+
+Stream positions are prefix sums over hashed buckets, so a hot source is spread over its buckets and only their totals
+meet; buckets and blocks grow with the corpus: a bucket has about ``BUCKET_ROWS`` rows, and the tree about ``BLOCKS``
+blocks at any size. Shards become more with the corpus too, up to 2 ** ``LEVELS``. The tables that are handled in one
+task have a row for each source, or each block. All draws come from hashes of a seed, so reruns agree.
 
 Cases: null and empty texts have size 0 and are never taken; with no words at all every target is 0. Repeated rows are
-rows of their own. Null is a source. Extra columns are ignored by ``draw`` and kept by ``mixed``. An empty table gives
-no rows.
+rows of their own. Null is a source. Rows without an id are rows like others. A text of any length is taken whole, but
+for the one document of each source in which its quota ends. Extra columns are ignored by ``draw`` and ``takes`` and
+kept by ``mixed``, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import cut, work_path, words
+from lorekeep.llm.common import cut, free_names, work_path, words
 
-BUCKETS = 1024
+#: Rows of a bucket, about; there are LEAST_BUCKETS of them at least.
+BUCKET_ROWS = 1 << 16
+LEAST_BUCKETS = 1024
 BLOCKS = 1 << 18
 LEAST_BLOCK = 256
+#: Words of a shard, about, and the least and most levels of the tree.
+SHARD_WORDS = 1 << 27
+LEVELS = (6, 14)
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -96,65 +106,90 @@ def shards(sources: DataFrame, levels: int, seed: int) -> DataFrame:
     return dealt.select("rank", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("block"))
 
 
-def draw(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, levels: int = 6, seed: int = 20) -> DataFrame:
-    """A row for each part of a document in a block of the mix: _row, doc_id, size, source_size, target, pass (from
-    0), block, shard (of 2 ** levels), first (word of the document) and taken (words), in any order; documents that
-    the mix leaves out have one row with null shard and taken 0."""
+def _drawn(units: DataFrame, sources: DataFrame, levels: int, seed: int) -> DataFrame:
+    """units: the sum of words of each block of each source, with its begin. -> rank, block, begin, pass, words (that the
+    mix takes of it, from its begin), shard: the blocks that the leaves draw."""
+    number = F.col("block")
+    units = units.join(sources.select("rank", "quota", "most"), "rank").select("*", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("pass"))
+    permuted = Window.partitionBy("rank").orderBy("pass", F.xxhash64(F.lit(seed), "rank", "pass", number), number)
+    before = F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = units.withColumn("_before", before).where("_before < quota")
+    chosen = chosen.withColumn("words", F.least("words", F.col("quota") - F.col("_before"))).drop("_before", "most", "quota")
+    order = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(~seed), "rank", "pass", number), "pass", number)
+    chosen = cut(chosen.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long")))
+    quotas = sources.select("rank").join(chosen.groupBy("rank").agg(F.count("*").alias("quota")), "rank", "left").select("rank", F.coalesce("quota", F.lit(0)).cast("long").alias("quota"), F.lit(1).cast("long").alias("block_words"))
+    leaves = shards(quotas, levels, seed).withColumnRenamed("block", "ordinal")
+    return chosen.join(leaves, ["rank", "ordinal"]).drop("ordinal")
+
+
+def draw(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, levels: int | None = None, seed: int = 20) -> DataFrame:
+    """A row for each pass of the mix over a document: _row, doc_id, size, source_size, target, rank, pass (from 0),
+    block, shard (of 2 ** levels), first (word of the document, 0) and taken (words); documents that the mix leaves out
+    have one row with null pass and shard and taken 0."""
     docs = cut(sized(docs, seed))
-    sources = cut(targets(docs, weights, share, most))
-    bucket = F.pmod(F.col("_hash"), F.lit(BUCKETS)).alias("_bucket")
+    sources = cut(targets(docs, weights, share, most)).withColumn("most", F.lit(most))
+    rows, all_words = docs.agg(F.count("*"), F.sum("size")).first()
+    buckets = max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
+    if levels is None:
+        levels = min(max(LEVELS[0], math.ceil(math.log2(max(1, share * (all_words or 0) / SHARD_WORDS)))), LEVELS[1])
+    bucket = F.pmod(F.col("_hash"), F.lit(buckets)).alias("_bucket")
     sums = docs.groupBy("source", bucket).agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    known = sums.join(sources, sums["_source"].eqNullSafe(sources["source"])).drop("source")
+    known = sums.join(sources.drop("most"), sums["_source"].eqNullSafe(sources["source"])).drop("source")
 
     within = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", "_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("_bucket", bucket).withColumn("_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(known, placed["source"].eqNullSafe(known["_source"]) & (placed["_bucket"] == known["_b"]))
     placed = placed.withColumn("_start", F.col("_start") + F.col("_before"))
+    spread = -1 - F.pmod(F.xxhash64("_row"), F.lit(4096))  # documents without words are in no block
+    placed = placed.withColumn("block", F.when(F.col("size") > 0, F.floor(F.col("_start") / F.col("block_words"))).otherwise(spread))
+    placed = cut(placed.select("_row", "doc_id", "size", "source_size", "target", "rank", "_start", "block"))
+
+    units = placed.where("size > 0").groupBy("rank", "block").agg(F.sum("size").alias("words"), F.min("_start").alias("begin"))
+    parts = placed.join(_drawn(units, sources, levels, seed), ["rank", "block"], "left")
+    taken = F.greatest(F.lit(0), F.least("size", F.col("words") - (F.col("_start") - F.col("begin"))))
+    parts = parts.withColumn("taken", F.when(F.col("shard").isNotNull(), taken).otherwise(0).cast("long"))
+    cols = ["_row", "doc_id", "size", "source_size", "target", "rank", "pass", "block", "shard", "first", "taken"]
+    # Read twice by those that give the taken rows a position, so it is kept.
+    return cut(parts.withColumn("first", F.lit(0).cast("long")).select(*cols))
+
 
-    # The parts of the passes below the quota, and of those the parts in each block.
-    start = lambda p: F.col("_start") + p * F.col("source_size")
-    spans = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: F.struct(p.alias("pass"), start(p).alias("a"), F.least(start(p) + F.col("size"), F.col("quota")).alias("b")))
-    placed = placed.withColumn("_spans", F.filter(spans, lambda s: s["a"] < s["b"]))
-    parts = placed.select("_row", "doc_id", "size", "source_size", "target", "rank", "block_words", "_start", F.explode_outer("_spans").alias("s"))
-    a, b, w = F.col("s.a"), F.col("s.b"), F.col("block_words")
-    blocks = F.sequence(F.floor(a / w).cast("long"), F.floor((b - 1) / w).cast("long"))
-    parts = parts.select("*", F.explode_outer(blocks).alias("block"))
-    low, high = F.greatest(a, F.col("block") * w), F.least(b, (F.col("block") + 1) * w)
-    parts = parts.select(
-        "_row", "doc_id", "size", "source_size", "target", "rank", F.col("s.pass").alias("pass"),
-        F.coalesce("block", -1 - F.pmod(F.xxhash64("_row"), F.lit(4096))).alias("block"),  # those left out are spread
-        (low - start(F.col("s.pass"))).alias("first"), F.coalesce(high - low, F.lit(0)).alias("taken"),
-    )
-    leaf = shards(sources, levels, seed)
-    return parts.join(leaf, ["rank", "block"], "left").select("_row", "doc_id", "size", "source_size", "target", "rank", "pass", "block", "shard", "first", "taken")
+def _order(seed: int) -> list[Column]:
+    """Of the documents of a shard: their blocks by a hash, then as they follow each other."""
+    return [F.xxhash64(F.lit(seed), "rank", "pass", "block"), F.col("rank"), F.col("pass"), F.col("block"), F.xxhash64(F.lit(~seed), "_row"), F.col("_row")]
 
 
 def shuffled(parts: DataFrame, seed: int = 20) -> DataFrame:
-    """parts of ``draw`` that the mix takes, with their position in their shard: blocks in the order of a hash."""
-    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "rank", "block"), "rank", "block", "pass", "first", "_row")
-    return parts.where("shard is not null").withColumn("position", F.row_number().over(order) - 1)
+    """parts of ``draw`` that the mix takes, with their position in their shard."""
+    order = Window.partitionBy("shard").orderBy(*_order(seed))
+    return parts.where("taken > 0").withColumn("position", F.row_number().over(order) - 1)
 
 
 def takes(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken: what the mix takes of each document."""
+    """doc_id, size, source_size, target, taken: what the mix takes of each document; and places: pass:shard:position of
+    each pass over it, joined by commas."""
     parts = draw(docs, **options)
-    return parts.groupBy("_row", "doc_id", "size", "source_size", "target").agg(F.sum(F.when(F.col("shard").isNotNull(), F.col("taken")).otherwise(0)).alias("taken")).drop("_row")
+    rows = shuffled(parts).unionByName(parts.where("taken = 0").withColumn("position", F.lit(None).cast("int")))
+    passes = F.array_sort(F.collect_list(F.when(F.col("taken") > 0, F.struct("pass", "shard", "position"))))  # as many as there are passes
+    places = F.array_join(F.transform(passes, lambda x: F.concat_ws(":", x["pass"], x["shard"], x["position"])), ",")
+    return rows.groupBy("_row", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"), places.alias("places")).drop("_row")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a row for each pass over a document, whole but for the one of each source that its quota
-    ends in, which keeps its first words, single-spaced."""
+def mixed(docs: DataFrame, seed: int = 20, **options) -> DataFrame:
+    """The mix as documents, shard by shard in shuffled order: a row for each pass over a document, whole but for the one
+    of each source that its quota ends in, which keeps its first words, single-spaced."""
+    row, size, taken, shard, *order = free_names(docs, "_row", "_size", "_taken", "_shard", *(f"_order{i}" for i in range(6)))
     path = work_path(docs.sparkSession, "mix")
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    docs.withColumn(row, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     docs = docs.sparkSession.read.parquet(path)
-    parts = draw(docs, **options).where("shard is not null")
-    passes = parts.groupBy("_row", "pass", "size").agg(F.sum("taken").alias("_taken"))
-    out = docs.join(passes.select("_row", F.col("size").alias("_size"), "_taken"), "_row")
-    whole = F.col("_taken") == F.col("_size")
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), 1, F.col("_taken").cast("int")), " "))
-    out = out.withColumn("text", text)
+    source = [F.col(f"`{c}`") for c in ("doc_id", "source", "text")]
+    parts = draw(docs.select(F.col(f"`{row}`").alias("_row"), *source), seed=seed, **options).where("taken > 0")
+    places = parts.select(F.col("_row").alias(row), F.col("size").alias(size), F.col("taken").alias(taken), F.col("shard").alias(shard), *(c.alias(n) for c, n in zip(_order(seed), order, strict=True)))
+    out = docs.join(places, row)
+    out = out.repartition(shard).sortWithinPartitions(shard, *order)
+    whole = F.col(taken) == F.col(size)
+    changed = {"text": F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), 1, F.col(taken).cast("int")), " "))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.drop("_row", "_size", "_taken")
+        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(changed["text"]).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns if c != row))

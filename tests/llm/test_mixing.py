@@ -74,3 +74,71 @@ def test_shards_and_texts(spark, sf, texts):
         words[r.doc_id] += n
         assert r.text == texts[r.doc_id].text or texts[r.doc_id].text.split()[:n] == r.text.split()
     assert {r.doc_id: r.taken for r in mixing.takes(docs).collect() if r.taken} == dict(words)
+
+
+def places_of(rows):
+    """(doc_id, pass) -> (shard, position)"""
+    return {(r.doc_id, int(p.split(":")[0])): tuple(map(int, p.split(":")[1:])) for r in rows for p in r.places.split(",") if p}
+
+
+def test_result_comes_through_the_tree(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.takes(docs, levels=3).collect()
+    places = places_of(rows)
+    assert {k for k, _ in places} == {r.doc_id for r in rows if r.taken}
+    assert len({s for s, _ in places.values()}) == 8
+    deal = mixing._deal
+    monkeypatch.setattr(mixing, "_deal", lambda counts, node, seed: deal(counts, node, seed + 99))
+    other = places_of(mixing.takes(docs, levels=3).collect())
+    assert other.keys() == places.keys() and sum(other[k][0] != places[k][0] for k in places) > len(places) / 3
+    shards = mixing.shards
+    monkeypatch.setattr(mixing, "shards", lambda *a: shards(*a).where("shard > 3"))
+    half = mixing.takes(docs, levels=3).collect()
+    assert {s for s, _ in places_of(half).values()} == {4, 5, 6, 7}
+    assert sum(r.taken for r in half) < 0.8 * sum(r.taken for r in rows)
+
+
+def test_blocks_of_a_shard_are_permuted(spark, sf):
+    parts = mixing.draw(spark.read.parquet(f"{sf}/documents.parquet"), levels=2).where("taken > 0").collect()
+    by = defaultdict(set)
+    for r in parts:
+        by[(r.shard, r["rank"])].add((r["pass"], r.block))
+    assert len(set().union(*by.values())) <= sum(map(len, by.values()))
+    seen = [b for v in by.values() for b in v]
+    per_rank = defaultdict(list)
+    for (_, k), v in by.items():
+        per_rank[k] += list(v)
+    assert all(len(v) == len(set(v)) for v in per_rank.values()) and seen
+    runs = [sum(b - a == 1 for (_, a), (_, b) in zip(sorted(v), sorted(v)[1:])) / len(v) for v in by.values() if len(v) > 5]
+    assert runs and max(runs) < 0.9
+
+
+def test_mixed_is_in_shuffled_order(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    places = places_of(mixing.takes(docs, levels=3).collect())
+    once = {i: places[(i, 0)] for i, p in places if (i, 1) not in places}
+    by = defaultdict(list)
+    for r in mixing.mixed(docs, levels=3).collect():
+        if r.doc_id in once:
+            by[once[r.doc_id][0]].append(once[r.doc_id][1])
+    assert by and all(v == sorted(v) for v in by.values())
+    assert any(len(v) > 3 for v in by.values())
+
+
+def test_clashing_names(spark, odd, odd_rows):
+    names = ["_row", "_size", "_taken", "_shard", "_order0", "Pass", "block", "first", "rank", "words"]
+    docs = odd.selectExpr("*", *(f"concat('{n}', coalesce(cast(doc_id as string), 'null')) AS {n}" for n in names))
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    values = {r[0]: (r[5], r[6], r[7], r[8]) for r in odd_rows if r[0] is not None}
+    rows = out.collect()
+    assert rows and all(r[n] == f"{n}{'null' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+    assert all((r.value, r.name, r.kept, r.size) == values[r.doc_id] for r in rows if r.doc_id is not None)
+
+
+def test_very_long_text_and_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(mixing, "LEAST_BUCKETS", 2)
+    docs = [(i, "a", "w " * (200_000 if i == 3 else 40)) for i in range(30)] + [(100 + i, None, "x " * 50) for i in range(10)]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    check(mixing.takes(frame).collect(), docs)
