@@ -1,19 +1,21 @@
 """Substring deduplication by level-wise doubling.
 
 A window of ``window`` words is removed where its word sequence also starts earlier in the corpus. Documents are dealt
-into chunks of a bounded size. At the shortest level every chunk sends the distinct hashes of its windows to hashed
-buckets; a bucket answers which of them other chunks have too. Only windows repeated at one length are extended to
-twice that length, as two repeated halves, and asked for again; at the last length the bucket answers whether another
-chunk holds an earlier occurrence, by document. What a chunk sends is distinct, so a passage that a third of the
-documents share costs one entry for each chunk, and no occurrences are ever paired. Requests are sorted, delta-coded
-arrays and answers are bit masks; 32 bits of a hash suffice beneath its bucket at the levels that only filter, the last
-level compares all 64.
-
-The chunks' texts are shuffled once; that exchange is reused by each level, which hashes the words anew.
+into chunks of a bounded size. At the shortest length, a quarter of the window, every chunk sends the distinct hashes of
+its windows to hashed buckets; a bucket answers which of them other chunks have too. Only windows repeated at one length
+are extended to twice that length, as two repeated halves, and asked for again; at the last length the bucket answers
+whether another chunk holds an earlier occurrence, by document. What a chunk sends is distinct, so a passage that a
+third of the documents share costs one entry for each chunk, and no occurrences are ever paired. Requests are sorted,
+delta-coded arrays and answers are bit masks. 32 bits of a hash suffice beneath its bucket at the lengths that only
+filter; the last length compares 128 bits, two hashes of the words that share nothing.
+
+Buckets become more with the data, so that each holds about ``BUCKET_BYTES`` at any size. The chunks' texts are shuffled
+once; that exchange is reused by each length, which hashes the words anew. The answers of each length are written to the
+shared folder before the next, so a lost executor costs the length that runs.
 
 Cases: null, empty and short texts keep every word. Repeated rows stand one after the other: the second one's windows
-start later. Rows without an id come after all others. Very long texts are in one chunk, whose arrays hold eight bytes
-a word. Extra columns are ignored. An empty table gives no rows.
+start later. Rows without an id come after all others. Very long texts are in one chunk, whose arrays hold sixteen bytes
+a word. Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.common import cut
+
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 _LAST = (1 << 63) - 1
@@ -64,32 +68,51 @@ class _Chunk:
         for i in order:
             words = (texts[i].as_py() or "").encode().split()
             sizes.append(len(words))
-            parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+            parts.append(b"".join(map(xxhash.xxh3_128_digest, words)))
         self.sizes = np.array(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
-        words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        words = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
         self.left = np.repeat(self.ends, self.sizes) - np.arange(len(words))  # words to the end of the document
         self.doc = np.repeat(np.arange(len(order)), self.sizes)
-        self._known = {1: words}
+        self._known = [{1: np.ascontiguousarray(words[:, k])} for k in range(2)]
 
-    def hashes(self, n: int) -> np.ndarray:
-        """Of the n words from each position on; meaningless where the document has fewer."""
-        if n not in self._known:
+    def hashes(self, n: int, lane: int = 0) -> np.ndarray:
+        """Of the n words from each position on; meaningless where the document has fewer. There are two lanes, from
+        the two halves of a 128-bit hash of each word."""
+        known = self._known[lane]
+        if n not in known:
             half = n // 2
-            a, b = self.hashes(half), self.hashes(n - half)
-            self._known[n] = _mix(a, np.concatenate([b[half:], b[:half]]))
-        return self._known[n]
+            a, b = self.hashes(half, lane), self.hashes(n - half, lane)
+            known[n] = _mix(a, np.concatenate([b[half:], b[:half]]))
+        return known[n]
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys, the first most; and where in it a new combination begins."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, new
 
 
 class _Asked:
-    """The distinct windows of one level: positions, their hashes, and for each window the place of its hash."""
+    """The distinct windows of one length, in the order of their hashes: positions, the hashes, second hashes at the
+    last length, and for each position the place of its window."""
 
-    def __init__(self, chunk: _Chunk, n: int, among: np.ndarray | None):
+    def __init__(self, chunk: _Chunk, n: int, among: np.ndarray | None, last: bool):
         at = chunk.left >= n
         if among is not None:
             at &= among
         self.at = np.flatnonzero(at)
-        self.hash, self.first, self.place, self.count = np.unique(chunk.hashes(n)[self.at], return_index=True, return_inverse=True, return_counts=True)
+        keys = [chunk.hashes(n, lane)[self.at] for lane in range(1 + last)]
+        order, new = _runs(*keys)
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.first = order[new]  # the orders are stable, so the earliest
+        self.hash, self.second = keys[0][self.first], keys[1][self.first] if last else None
+        self.count = np.diff(np.flatnonzero(np.append(new, True)))
 
     def cuts(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """The buckets that get something, and where each begins and ends among the sorted hashes."""
@@ -112,7 +135,7 @@ def _resolve(chunk: _Chunk, answers: pa.Table | None, lengths: list[int], upto:
             by[(level, bucket)] = raw
     among = None
     for level in range(upto + 1):
-        asked = _Asked(chunk, lengths[level], among)
+        asked = _Asked(chunk, lengths[level], among, level == len(lengths) - 1)
         said = np.zeros(len(asked.hash), bool)
         buckets, cuts = asked.cuts(bits)
         for k, b in enumerate(buckets):
@@ -143,7 +166,7 @@ def _ask(lengths: list[int], level: int, bits: int):
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             part = rest[i:j]
             data.append(_pack(np.diff(part, prepend=part.dtype.type(0))))
-            owners.append(_pack(own[i:j]) if last else None)
+            owners.append(_pack(own[i:j]) + _pack(asked.second[i:j]) if last else None)
         n = len(data)
         return pa.table({"bucket": pa.array(buckets[:n], pa.int32()), "chunk": pa.array([number] * n, pa.int32()), "data": pa.array(data, pa.binary()), "owners": pa.array(owners, pa.binary())})
 
@@ -163,10 +186,13 @@ def _reply(level: int, last: bool):
         sizes = [len(p) for p in parts]
         values = np.concatenate(parts)
         if last:
-            owners = np.concatenate([_unpack(raw, np.int64) for raw in table.column("owners").to_pylist()])
+            halves = [(raw[: len(raw) // 2], raw[len(raw) // 2 :]) for raw in table.column("owners").to_pylist()]
+            owners = np.concatenate([_unpack(a, np.int64) for a, _ in halves])
+            second = np.concatenate([_unpack(b, np.uint64) for _, b in halves])
             who = np.repeat(np.array(chunks), sizes)
-            order = np.lexsort((who, owners, values))
-            new = np.concatenate(([True], values[order][1:] != values[order][:-1]))
+            order = np.lexsort((who, owners, second, values))
+            v, w = values[order], second[order]
+            new = np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
             said = np.empty(len(values), bool)
             said[order] = ~new  # all but the chunk with the earliest document
         else:
@@ -213,13 +239,18 @@ def _remove(lengths: list[int], bits: int, with_text: bool):
     return run
 
 
-def dedup(docs: DataFrame, window: int = 20, doublings: int = 1, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def buckets_for(total: int, least: int, bucket_bytes: int) -> int:
+    """Bits of the bucket number: buckets of about bucket_bytes, at least as many as asked for."""
+    return max(0, math.ceil(math.log2(max(1, least, total / bucket_bytes))))
+
+
+def dedup(docs: DataFrame, window: int = 20, doublings: int = 2, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and the remaining text if asked for."""
     spark, lengths = docs.sparkSession, _levels(window, doublings)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(least, -(-total // chunk_bytes))
-    bits = min(16, max(0, math.ceil(math.log2(max(least, total / bucket_bytes)))))
+    bits = buckets_for(total, least, bucket_bytes)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     answers = None
@@ -229,7 +260,7 @@ def dedup(docs: DataFrame, window: int = 20, doublings: int = 1, with_text: bool
             asked = rows.groupBy("chunk").applyInArrow(_first(ask), ASKED)
         else:
             asked = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, ASKED)
-        said = asked.groupBy("bucket").applyInArrow(_reply(level, last), ANSWER)
+        said = cut(asked.groupBy("bucket").applyInArrow(_reply(level, last), ANSWER))
         answers = said if answers is None else answers.unionByName(said)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(lengths, bits, with_text), schema)
