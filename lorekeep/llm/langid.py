@@ -7,9 +7,11 @@ the sum over its positions. Lengths are computed exactly, by binary search in so
 context and byte that occurs, and remembered; scoring a batch is then table lookups in numpy. The language with the
 shortest code wins; the score is its posterior share, with the difference of code lengths scaled to a byte.
 
-Training takes at most ``FIT_ROWS`` documents of each language, those with the least hash of their id: a bounded sample
-of labelled rows, found by a limit that is applied before the shuffle. Only training sees languages and ids. The model
-is broadcast; its size is bounded by the sample. Scoring is one pass without a shuffle.
+Training takes at most ``FIT_ROWS`` documents of each language, those with the least hash of their id, and of these the
+ones of at most ``FIT_BYTES``: a bounded sample of labelled rows, found by a limit that is applied before the shuffle.
+Only the chosen ids are joined to the texts, by broadcast as long as they are at most ``MOST_IDS`` (a count that is
+checked), so no text is shuffled but the sample's. Only training sees languages and ids. The model is broadcast; its size
+is bounded by the sample. Scoring is one pass without a shuffle.
 
 Cases: texts that are null or have no letter are ``und`` with score 0, as is everything where nothing was learned.
 Repeated rows are judged row by row. Whole texts are scored, a bounded part at a time. Extra columns are ignored. An
@@ -25,8 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.llm.common import cut
+
 ORDER = 3
 FIT_ROWS = 150
+FIT_BYTES = 1 << 18
+MOST_IDS = 100_000
 #: Bytes scored at once.
 PART = 1 << 20
 #: n-grams that a worker remembers.
@@ -39,10 +45,15 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """text and lang of the training documents."""
-    usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where(usable).select("lang", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("doc_id").distinct()
-    return docs.where(usable).join(ids, "doc_id", "left_semi").select("lang", "text")
+    first = lambda df: df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows)
+    ids = cut(first(usable.select("lang", "doc_id")).select("lang", "doc_id").distinct())
+    if ids.count() <= MOST_IDS:
+        ids = F.broadcast(ids)
+    # Rows that repeat an id come along with it, so the limit is applied again.
+    found = first(usable.select("lang", "doc_id", "text").join(ids, ["lang", "doc_id"], "left_semi"))
+    return found.where(F.octet_length("text") <= FIT_BYTES).select("lang", "text")
 
 
 class Tree:
@@ -107,13 +118,13 @@ class Scorer:
     def __init__(self, model: list[tuple[str, Tree]]):
         self.langs, self.trees = [x for x, _ in model], [t for _, t in model]
         self.keys = np.zeros(0, np.uint32)
-        self.costs = np.zeros((0, len(model)), np.float32)
+        self.costs = np.zeros((0, len(model)))
 
     def _costs(self, codes: np.ndarray) -> np.ndarray:
         i, hit = Tree._find(self.keys, codes)
         if not hit.all():
             new = np.unique(codes[~hit])
-            fresh = np.stack([t.bits(new) for t in self.trees], 1).astype(np.float32)
+            fresh = np.stack([t.bits(new) for t in self.trees], 1)
             keys = np.concatenate([self.keys, new]) if len(self.keys) + len(new) <= KNOWN else new
             costs = np.concatenate([self.costs, fresh]) if len(keys) > len(new) else fresh
             order = np.argsort(keys)
@@ -123,7 +134,7 @@ class Scorer:
 
     def _direct(self, codes: np.ndarray) -> np.ndarray:
         distinct, place = np.unique(codes, return_inverse=True)
-        return np.stack([t.bits(distinct) for t in self.trees], 1).astype(np.float32)[place]
+        return np.stack([t.bits(distinct) for t in self.trees], 1)[place]
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits that each language's tree needs for each text."""
@@ -175,7 +186,7 @@ def scorer(model: list[tuple[str, Tree]]) -> Scorer:
 
 def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    model = train([(r["lang"], r["text"]) for r in sample(docs, fit_rows).collect()])  # FIT_ROWS for each language at most
+    model = train([(r["lang"], r["text"]) for r in sample(docs, fit_rows).collect()])  # FIT_ROWS of FIT_BYTES for each language at most
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
