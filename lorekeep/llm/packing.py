@@ -1,15 +1,19 @@
 """Packing documents into fixed-length sequences by patterns fitted with non-negative least squares.
 
 Documents are encoded and cut into pieces of at most ``size`` tokens. The histogram of piece lengths, ``size`` numbers
-at most, goes to the driver. Patterns are multisets of one to four lengths that fill a sequence exactly; projected
-gradients fit how often each is repeated so that together they use up the histogram, the counts are rounded down to
-what is there, and what remains is packed by best fit in bulk, on counts. The plan is a list of runs: pieces of one
+at most, goes to the driver. Patterns are multisets of one to four lengths that fill a sequence exactly. Single lengths
+and pairs are all listed; of triples and quadruples, too many to list, those are that can still lessen the residual of
+the fit: for each length the best completion by one to three more is found over all patterns at once, by dynamic
+programming, and the fit is repeated with the new ones, until none is left to add or ``PRICINGS`` times. Projected
+gradients fit how often each pattern is repeated so that together they use up the histogram, the counts are rounded down
+to what is there, and what remains is packed by best fit in bulk, on counts. The plan is a list of runs: pieces of one
 length, from a rank on, go to consecutive sequences at one offset. Its size follows the number of lengths, not of
-documents, so it is broadcast. Pieces get their rank within a length through hashed buckets, and find their run by a
-binary search.
+documents, so it is broadcast. Pieces get their rank within a length through hashed buckets, which become more with the
+pieces, and find their run by a binary search.
 
 Cases: a null or empty text is one piece, the end id. Repeated rows and equal ids are packed row by row. Texts of any
-length are cut into pieces of ``size`` tokens, the last one shorter. An empty table packs into nothing.
+length are cut into pieces of ``size`` tokens, the last one shorter. Extra columns are ignored, whatever their names. An
+empty table packs into nothing.
 """
 
 from __future__ import annotations
@@ -51,26 +55,67 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(tokenizer_path, size), PIECES)
 
 
-def patterns(have: np.ndarray, size: int, most: int = 60_000, seed: int = 7) -> np.ndarray:
-    """Rows of four lengths, 0 for none, that sum to size. All pairs, and triples and quadruples in which the common
-    lengths come first, up to the number given."""
+#: How often patterns are sought for what the fit leaves over, and the share of the pieces that is not worth another.
+PRICINGS = 12
+LEFT_OVER = 1e-5
+#: Pieces of one length in a bucket, about.
+BUCKET_ROWS = 1 << 16
+
+
+def pairs(have: np.ndarray, size: int) -> np.ndarray:
+    """Every pattern of one or two lengths that occur: rows of four lengths, 0 for none, that sum to size."""
     lengths = np.flatnonzero(have)
-    if not len(lengths):
-        return np.zeros((0, 4), np.int64)
     there = np.zeros(size + 1, bool)
     there[lengths] = True
-    out = [np.array([[size, 0, 0, 0]])] if there[size] else []
+    whole = np.array([[size, 0, 0, 0]] if there[size] else [], np.int64).reshape(-1, 4)
     a = lengths[(lengths * 2 <= size) & there[np.clip(size - lengths, 0, size)]]
-    out.append(np.stack([size - a, a, 0 * a, 0 * a], 1))
-    rng = np.random.default_rng(seed)
-    p = have[lengths] / have[lengths].sum()
-    for k in (2, 3):  # draw all but the last length, as often as they occur
-        draws = lengths[rng.choice(len(lengths), size=(most, k), p=p)]
-        last = size - draws.sum(1)
-        ok = (last > 0) & there[np.clip(last, 0, size)]
-        rows = np.sort(np.concatenate([draws[ok], last[ok, None]], 1), 1)[:, ::-1]
-        out.append(np.pad(np.unique(rows, axis=0), ((0, 0), (0, 3 - k))))
-    return np.concatenate(out).astype(np.int64)
+    return np.concatenate([whole, np.stack([size - a, a, 0 * a, 0 * a], 1)]).astype(np.int64)
+
+
+def completions(worth: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each length with a finite worth, the pattern with it whose lengths are worth most together, and that worth. All
+    multisets of one to four such lengths that sum to size are considered."""
+    best, sums = [worth], [np.zeros(size + 1, np.int64)]  # by the number of lengths: the most for each sum, and the last length
+    best[0][0] = -np.inf
+    for _ in range(2):
+        more, last = np.full(size + 1, -np.inf), np.zeros(size + 1, np.int64)
+        for s in range(2, size + 1):
+            both = worth[1:s] + best[-1][s - 1 : 0 : -1]
+            k = int(both.argmax())
+            more[s], last[s] = both[k], k + 1
+        best.append(more)
+        sums.append(last)
+    lengths = np.flatnonzero(np.isfinite(worth))
+    rest = size - lengths
+    values = np.stack([np.where(rest > 0, b[rest], -np.inf) for b in best])
+    values = np.concatenate([np.where(rest == 0, 0.0, -np.inf)[None], values])
+    many = values.argmax(0)
+    rows = np.zeros((len(lengths), 4), np.int64)
+    rows[:, 0] = lengths
+    for i in np.flatnonzero(many > 0):
+        s = int(rest[i])
+        for j in range(int(many[i]) - 1, 0, -1):
+            rows[i, j + 1] = sums[j][s]
+            s -= int(sums[j][s])
+        rows[i, 1] = s
+    total = worth[lengths] + values.max(0)
+    ok = np.isfinite(total)
+    return np.sort(rows[ok], 1)[:, ::-1], total[ok]
+
+
+def patterns(have: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns, and how often the fit repeats them."""
+    pats = pairs(have, size)
+    for _ in range(PRICINGS):
+        x = fit(have, pats)
+        residual = have.astype(float) - sum(np.bincount(pats[:, j], weights=x, minlength=size + 1) for j in range(4))
+        rows, worth = completions(np.where(have > 0, residual, -np.inf), size)
+        new = np.unique(rows[worth > LEFT_OVER * have.sum()], axis=0)
+        grown = np.unique(np.concatenate([pats, new]), axis=0)
+        if len(grown) == len(pats):
+            return pats, x
+        pats = grown
+    return pats, fit(have, pats)
 
 
 def fit(have: np.ndarray, pats: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -104,8 +149,7 @@ def plan(counts: dict[int, int], size: int = 2048) -> tuple[np.ndarray, int]:
     for k, c in counts.items():
         have[k] = c
     groups: list[tuple[int, list[list[int]]]] = []  # how many sequences, and their [length, repeats]
-    pats = patterns(have.astype(float), size)
-    x = fit(have.astype(float), pats)
+    pats, x = patterns(have.astype(float), size)
     for i in np.argsort(-x, kind="stable"):
         want = int(x[i] + 1e-6)
         if want <= 0:
@@ -151,10 +195,11 @@ def plan(counts: dict[int, int], size: int = 2048) -> tuple[np.ndarray, int]:
     return np.array(runs, np.int64).reshape(-1, 6), seq
 
 
-def place(parts: DataFrame, size: int = 2048, buckets: int = 256) -> DataFrame:
+def place(parts: DataFrame, size: int = 2048) -> DataFrame:
     """parts (PIECES) with sequence_id and offset. parts is read twice and must be stable."""
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # size rows at most
     runs, _ = plan(counts, size)
+    buckets = max(256, max(counts.values(), default=0) // BUCKET_ROWS)
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).alias("_bucket")
     keyed = parts.select("*", bucket)
     sizes = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))

@@ -2,6 +2,7 @@ import glob
 import random
 import zlib
 from collections import defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import public_tokenizers
@@ -143,3 +144,27 @@ def test_plan_uses_every_piece_once():
         for k, c in counts.items():
             ends = sorted(used[k])
             assert ends[0] == 0 and ends[-1] == c and ends[1:-1:2] == ends[2::2]
+
+
+def test_completions_are_the_best_patterns():
+    rng, size = np.random.default_rng(3), 24
+    for _ in range(20):
+        worth = np.where(rng.random(size + 1) < 0.5, rng.normal(size=size + 1), -np.inf)
+        worth[0] = -np.inf
+        lengths = np.flatnonzero(np.isfinite(worth)).tolist()
+        best = {}
+        for k in (1, 2, 3, 4):
+            for c in combinations_with_replacement(lengths, k):
+                if sum(c) == size:
+                    for x in set(c):
+                        best[x] = max(best.get(x, -np.inf), sum(worth[y] for y in c))
+        rows, total = packing.completions(worth.copy(), size)
+        assert (rows.sum(1) == size).all()
+        assert np.allclose([sum(worth[y] for y in r if y) for r in rows], total)
+        assert np.allclose(sorted(total), sorted(best.values()))
+
+
+def test_packing_with_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 1)
+    docs = [(i, "word " * (i % 70)) for i in range(700)]
+    check_packing(packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), WORD, 64).collect(), docs, 64)
