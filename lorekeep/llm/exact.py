@@ -10,9 +10,15 @@ block. Occurrences find their name through a pair of 64-bit keys that is first v
 distinct blocks of the corpus; were it not, other seeds are taken. All later levels are integers. Joins to names are
 laid out so that adaptive execution can split a hot name.
 
+Distinct blocks stay in the hash partitions that found them distinct, are sorted there, and numbered partition after
+partition: sorting them all by ranges would shuffle their bytes again. Which integers they get so depends on the number
+of partitions; whether two names are equal, and so every result, does not.
+
 Cases: null counts as the empty text, and white-space runs as one space. Of equal texts the smallest doc_id stays (ids
 that are null only if all are). Rows repeated with one id and equal texts count in group_size and come out as one row;
-one id with different texts gives a row for each. An empty table gives no rows. Extra columns are ignored.
+one id with different texts gives a row for each. ``dedup`` keeps one row of those with the id that stays: the one whose
+columns, as strings, come first. A text of any length is as many blocks as it needs. An empty table gives no rows. Extra
+columns are ignored by ``groups`` and carried by ``dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import cut, single_spaced, unique_by
+from lorekeep.llm.common import cut, free_names, one_of_each, single_spaced, unique_by
 
 BLOCK_BYTES = 16384
 
@@ -77,13 +83,25 @@ def _rows(found: DataFrame, *more) -> DataFrame:
 
 def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every document."""
-    named = names(docs, block_bytes)
+    return _grouped(names(docs, block_bytes)).drop("copies")
+
+
+def _grouped(named: DataFrame) -> DataFrame:
     best = unique_by(named, ["n_blocks", "name"], F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    return named.join(best, ["n_blocks", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return named.join(best, ["n_blocks", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "copies")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs without the rows that a smaller id repeats. Rows with the id that stays are all kept."""
-    gone = groups(docs).where(~F.col("kept")).select("doc_id", "text_sha256")
-    keyed = docs.withColumn("_sha", F.sha2(single_spaced(F.col("text")), 256))
-    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["_sha"] == gone["text_sha256"]), "left_anti").drop("_sha")
+    """docs with one row of each text: the one with the least id."""
+    found = cut(_grouped(names(docs)))
+    sha, id_, text = free_names(docs, "_sha", "_id", "_text")
+    keyed = docs.withColumn(sha, F.sha2(single_spaced(F.col("text")), 256))
+    same = lambda marks: keyed["doc_id"].cast("long").eqNullSafe(marks[id_]) & (keyed[sha] == marks[text])
+    marks = lambda condition: found.where(condition).select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(text))
+    gone, repeated = marks(~F.col("kept")), marks(F.col("kept") & (F.col("copies") > 1))
+    kept = keyed.join(gone, same(gone), "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if repeated.isEmpty():
+        return kept.select(*columns)
+    once = kept.join(repeated, same(repeated), "left_anti").select(*columns)
+    return once.unionByName(one_of_each(kept.join(repeated, same(repeated), "left_semi"), ["doc_id", sha]).select(*columns))

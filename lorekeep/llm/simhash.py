@@ -9,8 +9,10 @@ other bits until no part can exceed 4,096. Components come from stars over disti
 copies is one node.
 
 Cases: null, empty and blank texts have the fingerprint 0, which is linked like any other. Texts under three words are
-one shingle. Repeated rows and ids come out row by row; a component is named by its least doc_id. Texts are read whole,
-a bounded part at a time. Extra columns are ignored. An empty table gives no rows.
+one shingle. Repeated rows and ids come out row by row; a component is named by its least doc_id, null only if all its
+ids are. ``dedup`` keeps one row of each component: of the least id, of those the text with the least hash, and of rows
+with equal id and text the one whose columns, as strings, come first. Texts are read whole, a bounded part at a time.
+Extra columns are ignored, and carried by ``dedup``, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import cut, unique_by
+from lorekeep.llm.common import cut, free_names, one_of_each, unique_by
 from lorekeep.llm.components import components
 
 DISTANCE = 3
@@ -68,12 +70,17 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         marks = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks)], ["doc_id", "mark"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks), *b.columns[2:]], ["doc_id", "mark", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and mark, the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, mark long")
+def fingerprints(docs: DataFrame, with_text_hash: bool = False) -> DataFrame:
+    """doc_id, mark, the fingerprint as a signed long, and, if asked for, a hash of the text."""
+    more = [_text_hash(F.col("text")).alias("text_hash")] * with_text_hash
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(_fingerprints, "doc_id long, mark long" + ", text_hash long" * with_text_hash)
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _mask(parts) -> int:
@@ -171,18 +178,39 @@ def links(marks: DataFrame) -> DataFrame:
     return keyed.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_links, "u long, v long")
 
 
+def _rooted(marks: DataFrame) -> DataFrame:
+    """mark and root, the component, for each distinct mark, and least_id, the least id with the mark."""
+    classes = cut(unique_by(marks, ["mark"], F.min("doc_id").alias("least_id")))
+    stars = components(links(classes.select("mark")))
+    return classes.join(stars.select(F.col("u").alias("mark"), F.col("v").alias("root")), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (its least doc_id)."""
     marks = cut(fingerprints(docs))
-    classes = cut(unique_by(marks, ["mark"], F.min("doc_id").alias("least_id")))
-    stars = components(links(classes.select("mark")))
-    rooted = classes.join(stars.select(F.col("u").alias("mark"), F.col("v").alias("root")), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    rooted = _rooted(marks)
     named = unique_by(rooted, ["root"], F.min("least_id").alias("component_id"))
     of_mark = rooted.join(named, "root").select("mark", "component_id")
     return marks.join(unique_by(of_mark, ["mark"], F.min("component_id").alias("component_id")), "mark").select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: its least id."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each component: the one with the least id."""
+    marks = cut(fingerprints(docs, with_text_hash=True))
+    rooted = unique_by(_rooted(marks), ["mark"], F.min("root").alias("root"))
+    rows = cut(marks.groupBy("doc_id", "text_hash").agg(F.min("mark").alias("mark"), F.count("*").alias("copies")).join(rooted, "mark"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("first")
+    best = unique_by(rows, ["root"], first).select("root", "first.*")
+    judged = rows.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    judged = cut(judged.select("doc_id", "text_hash", "copies", "stays"))
+
+    id_, hash_, own = free_names(docs, "_id", "_hash", "_own_hash")
+    keyed = docs.withColumn(own, _text_hash(F.col("text")))
+    same = lambda found: keyed["doc_id"].cast("long").eqNullSafe(found[id_]) & (keyed[own] == found[hash_])
+    found = lambda condition: judged.where(condition).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    gone, repeated = found("NOT stays"), found("stays AND copies > 1")
+    kept, columns = keyed.join(gone, same(gone), "left_anti"), [F.col(f"`{c}`") for c in docs.columns]
+    if repeated.isEmpty():
+        return kept.select(*columns)
+    once = kept.join(repeated, same(repeated), "left_anti").select(*columns)
+    return once.unionByName(one_of_each(kept.join(repeated, same(repeated), "left_semi"), ["doc_id", own]).select(*columns))

@@ -28,3 +28,18 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def texts(spark, sf):
     return {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+CLASHING = ["_w", "_ordered", "_lines", "_full", "_good", "_text", "_whole", "_stay", "_carried", "n_words", "base_failed", "clean_text", "_sha", "_id", "_own_hash", "_row_of_key", "keep_id", "copies", "text_hash", "mark", "root", "_row", "_size", "_taken", "_shard", "position", "chunk", "bucket"]
+
+
+@pytest.fixture(scope="session")
+def clashing(spark, odd):
+    """The odd rows with a column for each name that an operator uses inside, which holds its name and the row's value."""
+    return odd.selectExpr("*", *(f"concat('{n}', value) AS {n}" for n in CLASHING))
+
+
+def values_stay(row):
+    """Whether a row's clashing columns, and those of the odd rows, are what they were."""
+    plain = row.value is None or (row.value, row.name, row.kept, row["size"]) == ("v", "n", "k", "z")
+    return plain and all(row[n] == (None if row.value is None else n + row.value) for n in CLASHING)

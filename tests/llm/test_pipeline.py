@@ -3,6 +3,8 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from conftest import values_stay
+from pyspark.sql import functions as F
 from test_mixing import brute_targets
 from test_simhash import brute_components, brute_mark
 
@@ -56,3 +58,24 @@ def test_stages_against_brute_force(spark, sf, texts, tmp_path):
 
 def test_run_gives_rows(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf, clashing, empty, tmp_path):
+    """Nulls in any column, repeated rows, ties, clashing names: each stage keeps the columns and their values."""
+    good = "\n".join(" ".join(f"w{i}x{j}" for j in range(9)) + "." for i in range(12))
+    more = clashing.where("doc_id = 3").withColumn("text", F.lit(good))
+    docs = clashing.unionByName(more).unionByName(more).unionByName(more.withColumn("doc_id", F.lit(None).cast("long")))
+    for start, rows_wanted in ((docs, True), (empty, False)):
+        now = start
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = f"{tmp_path}/{rows_wanted}-{i}"
+            stage(spark, now, sf).write.parquet(path)
+            now = spark.read.parquet(path)
+            rows = now.collect()
+            assert bool(rows) == rows_wanted
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert now.columns == start.columns
+                assert not rows_wanted or all(map(values_stay, rows))
+        assert "sequence_id" in now.columns
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).collect()

@@ -3,6 +3,8 @@ import random
 import numpy as np
 import xxhash
 
+from conftest import values_stay
+
 from lorekeep.llm import queries, simhash
 
 
@@ -87,3 +89,22 @@ def components_of(edges, index):
         a, b = sorted((find(index[u]), find(index[v])))
         parent[b] = a
     return [find(i) for i in range(len(index))]
+
+
+def test_dedup_keeps_one_row_of_each_component(spark, clashing, odd_rows, empty):
+    out = simhash.dedup(clashing)
+    rows = out.collect()
+    assert out.columns == clashing.columns and all(map(values_stay, rows))
+    got = [simhash.fingerprint(r.text) for r in rows]
+    every = {simhash.fingerprint(r[1]) for r in odd_rows}
+    assert all((a ^ b).bit_count() > 3 for i, a in enumerate(got) for b in got[:i])
+    assert len(got) <= len(every) and {simhash.fingerprint(r.text) for r in rows} <= every
+    assert simhash.dedup(empty).count() == 0
+
+
+def test_one_id_in_two_components(spark):
+    """An id with two texts is judged text by text; repeated rows leave one."""
+    a, b = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(200))
+    rows = [(5, a, "x"), (3, a, "x"), (5, b, "z"), (5, b, "y"), (9, b, "x"), (None, a, "n")]
+    got = [(r.doc_id, r.text[0], r.lang) for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()]
+    assert sorted(got) == [(3, "a", "x"), (5, "b", "y")]
