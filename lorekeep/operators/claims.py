@@ -83,14 +83,21 @@ def prefer_labels(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def validity(qualifiers: DataFrame) -> DataFrame:
-    """claim_id, valid_from, valid_to from qualifiers (claim_id, property, snak_type, first_day, last_day): a bound
-    counts if it is known and the only one of its property."""
-    def only(prop: str, col: str):
+    """source, statement_id, valid_from, valid_to (texts), time_precision (the coarsest), valid_from_day, valid_to_day from
+    the start (P580), end (P582) and point in time (P585) of statements, as ``worldtime.read_times`` gives them: each
+    counts only if it is the only one of its property and known, and the point only without start and end."""
+    def only(prop: str):
         mine = F.col("property") == prop
-        return F.when((F.sum(mine.cast("int")) == 1) & (F.sum((mine & (F.col("snak_type") == "value")).cast("int")) == 1), F.max(F.when(mine, F.col(col))))
-
-    out = qualifiers.groupBy("claim_id").agg(only("P580", "first_day").alias("a"), only("P582", "last_day").alias("b"), only("P585", "first_day").alias("p"), only("P585", "last_day").alias("q"))
-    return out.select("claim_id", F.coalesce("a", "p").alias("valid_from"), F.coalesce("b", "q").alias("valid_to"))
+        value = F.struct("shown", "shown_precision", "first_day", "last_day")
+        return F.when(F.count_if(mine) == 1, F.max(F.when(mine & F.col("shown").isNotNull(), value))).alias(prop)
+
+    out = qualifiers.groupBy("source", "statement_id").agg(*map(only, ("P580", "P582", "P585")))
+    point = F.when(F.col("P580").isNull() & F.col("P582").isNull(), F.col("P585"))
+    out = out.select("source", "statement_id", F.coalesce("P580", point).alias("a"), F.coalesce("P582", point).alias("b"))
+    return out.select(
+        "source", "statement_id", F.col("a.shown").alias("valid_from"), F.col("b.shown").alias("valid_to"), F.least("a.shown_precision", "b.shown_precision").alias("time_precision"),
+        F.col("a.first_day").alias("valid_from_day"), F.col("b.last_day").alias("valid_to_day"),
+    )
 
 
 def stabbing(claims: DataFrame, day: int) -> DataFrame:
