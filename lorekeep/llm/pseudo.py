@@ -68,8 +68,8 @@ FAN = 128
 BLOCK = 4096
 #: Words that are worked on at once.
 PART = 1 << 16
-#: Classes of rare words that a worker remembers.
-REMEMBERED = 200_000
+#: Bytes of texts that are cut into words together.
+TOGETHER_BYTES = 8 << 20
 
 
 def _occurrences(docs: DataFrame, *columns: str) -> DataFrame:
@@ -92,11 +92,10 @@ def vocabulary(known: list[tuple[str, int]]) -> list[str]:
     return [w for w, _ in known[: VOCABULARY - CLASSES - 1]]
 
 
-def rare_counts(docs: DataFrame, known: list[str]) -> DataFrame:
-    """_row, log_n: the logs of the corpus-wide counts of the words that are not known, summed over a row's words. Words
-    that occur once add nothing and may leave a row out."""
-    known = docs.sparkSession.createDataFrame([(w,) for w in known], "w string")
-    rare = _occurrences(docs, "_row").join(F.broadcast(known), "w", "left_anti")  # KNOWN rows of LONG bytes at most
+def rare_counts(tokens: DataFrame) -> DataFrame:
+    """_row, log_n: the logs of the corpus-wide counts of the unknown words of ``encoded``, summed over a row's words.
+    Words that occur once add nothing and may leave a row out."""
+    rare = tokens.select("_row", F.explode("unknown").alias("w"))
     counted = rare.withColumn("n", F.count("*").over(Window.partitionBy("w"))).where("n > 1")
     return counted.groupBy("_row").agg(F.sum(F.log("n")).alias("log_n"))
 
@@ -107,32 +106,38 @@ class Words:
     def __init__(self, frequent: list[str], known: list[tuple[str, int]] = ()):
         import xxhash
 
-        self.ids = {w.encode(): CLASSES + 1 + i for i, w in enumerate(frequent)}
-        self._class = lambda w: 1 + xxhash.xxh32_intdigest(w[-3:]) % CLASSES
-        self.ids |= {w.encode(): VOCABULARY + i for i, (w, _) in enumerate(known)}
-        self.class_of = np.concatenate([np.arange(VOCABULARY), [self._class(w.encode()) for w, _ in known]]).astype(np.int32)
+        self.ids = {w: CLASSES + 1 + i for i, w in enumerate(frequent)}
+        self._class = lambda w: 1 + xxhash.xxh32_intdigest(w.encode()[-3:]) % CLASSES
+        self.ids |= {w: VOCABULARY + i for i, (w, _) in enumerate(known)}
+        self.class_of = np.concatenate([np.arange(VOCABULARY), [self._class(w) for w, _ in known]]).astype(np.int32)
         self.logs = np.concatenate([np.zeros(VOCABULARY), np.log([n for _, n in known])])
-        self.rare: dict[bytes, int] = {}
-
-    def _rare(self, w: bytes) -> int:
-        if len(self.rare) >= REMEMBERED:
-            self.rare.clear()
-        key = hashlib.sha256(w).hexdigest().encode() if len(w) > LONG else w
-        k = self.rare[w] = self.ids.get(key) or self._class(key)
-        return k
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, float]:
-        """The ids, and the logs of the occurrences of the known words outside the vocabulary, summed."""
-        words = (text or "").encode().split()
-        ids = list(map(self.ids.get, words))
-        if None in ids:
-            rare = self.rare
-            ids = [k if k is not None else rare.get(w) or self._rare(w) for k, w in zip(ids, words, strict=True)]
-        ids = np.array(ids, np.int32)
-        return self.class_of[ids], float(self.logs[ids].sum())
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
+        """Of texts cut into words together, each distinct one looked up once: all ids, where each text's begin, with the
+        end, the logs of the occurrences of its known words outside the vocabulary, summed, and its unknown words."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        words = cut.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        ids = list(map(self.ids.get, names))
+        unknown = np.zeros(len(names), bool)
+        for i, (k, w) in enumerate(zip(ids, names, strict=True)):
+            if k is None:
+                key = hashlib.sha256(w.encode()).hexdigest() if len(w.encode()) > LONG else w
+                k = self.ids.get(key)
+                if k is None and w:
+                    k, unknown[i] = self._class(key), True
+                ids[i], names[i] = -1 if k is None else k, key  # blanks at the ends leave an empty word
+        ids, at = np.array(ids, np.int64), np.asarray(words.indices)
+        offsets = np.asarray(cut.offsets) - cut.offsets[0].as_py()
+        real, new, logs = (ids >= 0)[at], unknown[at], np.append(np.where(ids >= 0, self.logs[ids], 0.0)[at], 0.0)
+        before = lambda x: np.concatenate([[0], np.cumsum(x)])[offsets]
+        lists = pa.ListArray.from_arrays(pa.array(before(new).astype(np.int32)), pa.array(names, pa.string()).take(pa.array(at[new])))
+        sums = np.where(np.diff(offsets) > 0, np.add.reduceat(logs, offsets[:-1]), 0.0) if len(texts) else np.zeros(0)
+        return self.class_of[ids[at[real]]], before(real), sums, lists
 
     def of(self, text: str | None) -> np.ndarray:
-        return self.encode(text)[0]
+        """The ids of one text."""
+        return self.batch(pa.array([text], pa.string()))[0]
 
 
 SHAPES = {"embed": (VOCABULARY, WIDTH), "place": (2 * SIDE, WIDTH), "group": (WIDTH, GROUPS), "group_bias": (GROUPS,), "word": (GROUPS, WIDTH, GROUPS), "word_bias": (GROUPS, GROUPS)}
@@ -317,21 +322,26 @@ def ids_of(shared: tuple[list[str], list[tuple[str, int]]]) -> Words:
 
 def encoded(docs: DataFrame, frequent: list[str], known: list[tuple[str, int]] = ()) -> DataFrame:
     """_row, doc_id, key (a hash of id and text), n_words, known_log (the logs of the occurrences of its known words
-    outside the vocabulary, summed), ids (two bytes each): docs as a written table."""
+    outside the vocabulary, summed), unknown (words), ids (two bytes each): docs as a written table."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ids_of(shared.value)
         for b in batches:
-            found = [words.encode(t.as_py()) for t in b.column(3)]
-            n, logs = pa.array([len(x) for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.float64())
-            ids = pa.array([x.astype("<u2").tobytes() for x, _ in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], n, logs, ids], [*b.schema.names[:3], "n_words", "known_log", "ids"])
+            sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(3)), 0), np.int64))
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + TOGETHER_BYTES)))
+                ids, begins, logs, unknown = words.batch(b.column(3)[i:j])
+                raw = [ids[k:m].astype("<u2").tobytes() for k, m in zip(begins[:-1], begins[1:], strict=True)]
+                cols = [*(c[i:j] for c in b.columns[:3]), pa.array(np.diff(begins)), pa.array(logs), unknown, pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:3], "n_words", "known_log", "unknown", "ids"])
+                i = j
 
     doc = F.col("doc_id" if "doc_id" in docs.columns else "_row").cast("long")
     rows = docs.select("_row", doc.alias("doc_id"), F.xxhash64(doc, "text").alias("key"), "text")
     path = work_path(docs.sparkSession, "ids")
-    rows.mapInArrow(run, "_row long, doc_id long, key long, n_words long, known_log double, ids binary").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, "_row long, doc_id long, key long, n_words long, known_log double, unknown array<string>, ids binary").write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -449,7 +459,7 @@ def train(docs: DataFrame, frequent: list[str], rounds: int = ROUNDS) -> tuple[n
 
 def scores(docs: DataFrame, rounds: int = ROUNDS, group_words: int = GROUP_WORDS) -> DataFrame:
     """doc_id, n_words, log_likelihood (natural, summed over the words), mean_log_likelihood."""
-    docs = cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "text"))
+    docs = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "text")
     known = known_words(docs)
     frequent = vocabulary(known)
     chosen = set(frequent)
@@ -474,5 +484,5 @@ def scores(docs: DataFrame, rounds: int = ROUNDS, group_words: int = GROUP_WORDS
 
     scored = tokens.select("_row", "doc_id", "n_words", "ids", "known_log").mapInArrow(run, "_row long, doc_id long, n_words long, in_class double")
     total = F.col("in_class") + F.coalesce("log_n", F.lit(0.0))
-    out = scored.join(rare_counts(docs, [*frequent, *(w for w, _ in others)]), "_row", "left").select("doc_id", "n_words", total.alias("log_likelihood"))
+    out = scored.join(rare_counts(tokens), "_row", "left").select("doc_id", "n_words", total.alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
