@@ -9,9 +9,10 @@ third of the documents share costs one entry for each chunk, and no occurrences
 delta-coded arrays and answers are bit masks. 32 bits of a hash suffice beneath its bucket at the lengths that only
 filter; the last length compares 128 bits, two hashes of the words that share nothing.
 
-Buckets become more with the data, so that each holds about ``BUCKET_BYTES`` at any size. The chunks' texts are shuffled
-once; that exchange is reused by each length, which hashes the words anew. The answers of each length are written to the
-shared folder before the next, so a lost executor costs the length that runs.
+Buckets become more with the data, so that each holds about ``BUCKET_BYTES`` at any size. All lengths are one query: the
+chunks' texts are shuffled once, and that exchange is reused by each length, which hashes the words anew. A lost executor
+costs the map outputs that it held; finished stages of the others stay. (Written answers between the lengths would make
+each a query of its own that shuffles the texts again.)
 
 Cases: null, empty and short texts keep every word. Repeated rows stand one after the other: the second one's windows
 start later. Rows without an id come after all others. Very long texts are in one chunk, whose arrays hold sixteen bytes
@@ -28,8 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import cut
-
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 _LAST = (1 << 63) - 1
@@ -260,7 +259,7 @@ def dedup(docs: DataFrame, window: int = 20, doublings: int = 2, with_text: bool
             asked = rows.groupBy("chunk").applyInArrow(_first(ask), ASKED)
         else:
             asked = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, ASKED)
-        said = cut(asked.groupBy("bucket").applyInArrow(_reply(level, last), ANSWER))
+        said = asked.groupBy("bucket").applyInArrow(_reply(level, last), ANSWER)
         answers = said if answers is None else answers.unionByName(said)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(lengths, bits, with_text), schema)
