@@ -1,5 +1,5 @@
 """Text keys and tokens. Case-insensitive means Python's IGNORECASE over NFC text; the key reproduces it code point by
-code point with ``translate``, so matching stays in generated code."""
+code point in generated code. Python runs only on texts that normalisation can change."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 #: Words for full-text search: runs of letters, numbers, private-use characters and marks.
 WORD_BREAK = r"[^\p{L}\p{N}\p{Co}\p{M}]+"
 CJK = r"[぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]"
+#: A change of the key's rule, and the Unicode tables behind it: an index of keys made under another is not current.
+KEY_VERSION = f"1-{unicodedata.unidata_version}"
 
 
 @lru_cache(1)
@@ -45,34 +47,112 @@ def _fold_map() -> dict[int, str]:
     return dict(zip(map(ord, fold_table()[0]), fold_table()[1], strict=True))
 
 
+def _ranges(codes: list[int]) -> str:
+    """A Java character class of code points."""
+    out, i = [], 0
+    while i < len(codes):
+        j = i
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        out.append(f"\\x{{{codes[i]:X}}}" if i == j else f"\\x{{{codes[i]:X}}}-\\x{{{codes[j]:X}}}")
+        i = j + 1
+    return "[" + "".join(out) + "]"
+
+
+@lru_cache(1)
+def unstable() -> str:
+    """Characters that NFC changes or can join to others; a text without any is in NFC."""
+    second = set()
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000:
+            parts = unicodedata.normalize("NFD", chr(c))
+            if len(parts) > 1 and unicodedata.normalize("NFC", parts) == chr(c):
+                second.update(parts[1:])
+    codes = [c for c in range(0x300, 0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.combining(chr(c)) or chr(c) in second or unicodedata.normalize("NFC", chr(c)) != chr(c))]
+    hangul = {c for c in range(0x1161, 0x1176)} | {c for c in range(0x11A8, 0x11C3)}
+    return _ranges(sorted({*codes, *hangul}))
+
+
+def needs_nfc(text: Column) -> Column:
+    """Whether normalisation could change a text; never for ASCII, told by its length in bytes."""
+    return (F.octet_length(text) != F.length(text)) & text.rlike(unstable())
+
+
 @F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+@lru_cache(1)
+def _unusual() -> str:
+    """Characters of which Java's lower case isn't known to be the key: all beyond Latin and punctuation that have a
+    case, and those below whose key is not their lower case."""
+    low = [c for c in range(0x250) if chr(c).lower() != fold(chr(c))]
+    other = [c for c in map(ord, fold_table()[0]) if c >= 0x250]
+    cased = [c for c in range(0x250, 0x20000) if not 0xD800 <= c < 0xE000 and (chr(c).lower() != chr(c) or chr(c).upper() != chr(c))]
+    return _ranges(sorted({*low, *other, *cased}))
+
+
 def fold_key(text: Column) -> Column:
-    """Key of NFC text; pass other text through ``nfc`` first."""
-    return F.translate(text, *fold_table())
+    """Key of NFC text; pass other text through ``nfc`` first. Most texts are lowered; the table of all case pairs is for
+    those that have others than Latin ones."""
+    plain = (F.octet_length(text) == F.length(text)) | ~text.rlike(_unusual())
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, *fold_table()))
 
 
 def icontains(text: Column, needle: str) -> Column:
-    """Null contains nothing."""
+    """Of NFC text. Null contains nothing."""
     return F.coalesce(F.contains(fold_key(text), F.lit(fold(needle))), F.lit(False))
 
 
+@lru_cache(256)
+def compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern)
+
+
 def regexp(text: Column, pattern: str) -> Column:
     """Python's ``re.search`` over NFC text; null matches nothing."""
-    compiled = re.compile(pattern)
+    search_ = compiled(pattern).search
 
     @F.pandas_udf("boolean")
     def search(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x is not None and compiled.search(unicodedata.normalize("NFC", x)) is not None)
+        return s.map(lambda x: x is not None and search_(unicodedata.normalize("NFC", x)) is not None)
 
     return search(text)
 
 
+@lru_cache(1)
+def _diacritics() -> tuple[str, str]:
+    """Letters that are a letter with marks, and that letter; then marks of Latin writing, which stand for nothing."""
+    source, base = [], []
+    for c in range(0xC0, 0x2000):
+        if unicodedata.category(chr(c)) not in ("Ll", "Lo", "Lu", "Lt"):
+            continue
+        parts = unicodedata.normalize("NFD", chr(c))
+        if len(parts) > 1 and all(0x300 <= ord(m) <= 0x36F for m in parts[1:]):
+            source.append(chr(c))
+            base.append(parts[0])
+    return "".join(source + [chr(c) for c in range(0x300, 0x332)]), "".join(base)
+
+
+def bare(text: str) -> str:
+    """Lower case without diacritics, as words are indexed."""
+    source, base = _diacritics()
+    table = {ord(c): base[i] if i < len(base) else None for i, c in enumerate(source)}
+    return text.lower().translate(table)
+
+
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda x: x != "")
+    """The words of a text, lowered and without diacritics, in their order."""
+    low = F.lower(text)
+    plain = F.octet_length(text) == F.length(text)
+    return F.filter(F.split(F.when(plain, low).otherwise(F.translate(low, *_diacritics())), WORD_BREAK), lambda x: x != "")
+
+
+def words_of(text: str) -> tuple[str, ...]:
+    """What ``tokens`` makes of a text, on the driver."""
+    marks = lambda c: unicodedata.category(c)[0] in "LNM" or unicodedata.category(c) == "Co"
+    return tuple("".join(c if marks(c) else " " for c in bare(text)).split())
 
 
 def grams(text: Column, n: int = 3) -> Column:
@@ -81,15 +161,60 @@ def grams(text: Column, n: int = 3) -> Column:
     return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def has_cjk(text: str) -> bool:
+    return re.search(CJK, text) is not None
+
+
 def cjk_pairs(text: Column) -> Column:
     """Pairs of neighbours in runs of CJK characters."""
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"({CJK}+)"), F.lit(1)), lambda run: grams(run, 2)))
 
 
+def cjk_runs(text: str) -> list[list[str]]:
+    """For each run of two CJK characters or more in a query, its pairs in order."""
+    return [[run[i : i + 2] for i in range(len(run) - 1)] for run in re.findall(f"{CJK}+", text) if len(run) > 1]
+
+
+def phrase(text: str) -> str:
+    """A text as a quoted phrase of the query language."""
+    return '"' + text.replace('"', '""') + '"'
+
+
+def gram_phrase(needle: str) -> str | None:
+    """The phrase that narrows a substring search by three-character grams; None where the needle has none."""
+    key = fold(needle)
+    return phrase(key) if len(key) >= 3 else None
+
+
 def slug(text: Column) -> Column:
+    """Letters and digits of ASCII, all else as single dashes."""
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+@F.pandas_udf(T.StringType())
+def ascii_form(s: pd.Series) -> pd.Series:
+    """Compatibility decomposition without what is not ASCII, so that ``slug`` keeps base letters."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
+
+
+@F.pandas_udf(T.StringType())
+def spelling(s: pd.Series) -> pd.Series:
+    """NFKC, case folded, punctuation as single blanks: spellings that count as one."""
+    def one(x: str) -> str:
+        folded = unicodedata.normalize("NFKC", x).casefold()
+        return " ".join("".join(c if c.isalnum() or unicodedata.category(c)[0] == "M" else " " for c in folded).split())
+
+    return s.map(lambda x: None if x is None else one(x))
+
+
+@F.pandas_udf(T.StringType())
+def flat_html(s: pd.Series) -> pd.Series:
+    """The text of HTML: no tags, references resolved, blanks single, case folded."""
+    import html
+
+    return s.map(lambda x: None if x is None else " ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()).casefold())
+
+
 def norm_lang(tag: Column) -> Column:
     return F.lower(F.replace(F.trim(tag), F.lit("_"), F.lit("-")))
 
@@ -103,10 +228,22 @@ def scoped(scope: str, code: Column) -> Column:
     return F.concat(F.lit(scope + "/"), code.cast("string"))
 
 
+def scheme_of(scoped_id: Column) -> Column:
+    """What stands before the first slash; an id without one has the empty scheme."""
+    return F.when(F.contains(scoped_id, F.lit("/")), F.split_part(scoped_id, F.lit("/"), F.lit(1))).otherwise("")
+
+
 def valid_scoped(value: Column) -> Column:
     return value.rlike(r"^(?:doc/.+|[a-z]+/[A-Za-z0-9][A-Za-z0-9._\-]*)$")
 
 
+def like_ascii(text: Column, prefix: str) -> Column:
+    """Whether a text begins with a prefix, ASCII letters in any case and no other."""
+    head = F.substring(text, F.lit(1), F.lit(len(prefix)))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(head, upper, lower) == prefix.translate(str.maketrans(upper, lower))
+
+
 def pointer(name: Column) -> Column:
     """A name as a step of a JSON pointer."""
     return F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
@@ -117,3 +254,16 @@ def canonical_json(s: pd.Series) -> pd.Series:
     import json
 
     return s.map(lambda x: None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def megabytes(size: Column) -> Column:
+    """A number of bytes to read: one decimal from a megabyte on, thousands otherwise; null is a question mark."""
+    mb = F.format_string("%.1f MB", size / 1_000_000)
+    return F.when(size.isNull(), "?").when(size >= 1_000_000, mb).when(size >= 1000, F.format_string("%.0f kB", size / 1000)).otherwise(F.concat(size.cast("string"), F.lit(" B")))
+
+
+def fnv1a(text: Column) -> Column:
+    """FNV-1a of 32 bits over UTF-16 code units below 256 each, as browsers count ASCII: an integer fold."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    mix = lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    return F.aggregate(codes, F.lit(2166136261).cast("long"), mix)

@@ -3,31 +3,21 @@ new, is written out, and stops when nothing is; cycles and many paths to one nod
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        root = sc.getConf().get("spark.checkpoint.dir")
-        if not root and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="lorekeep-"))
-    return df.checkpoint(eager=True)
+from lorekeep.operators.stored import written
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor) for every two nodes with a path, not the node itself unless it is on a cycle."""
     edges = edges.where("parent is not null").select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
     steps = edges.select(F.col("node").alias("mid"), F.col("ancestor").alias("up"))
-    seen = new = _cut(edges)
+    seen = new = written(edges)
     while not new.isEmpty():
         grown = new.join(steps, new["ancestor"] == steps["mid"]).select("node", F.col("up").alias("ancestor")).distinct()
-        new = _cut(grown.join(seen, ["node", "ancestor"], "left_anti"))
-        seen = _cut(seen.unionByName(new))
+        new = written(grown.join(seen, ["node", "ancestor"], "left_anti"))
+        seen = written(seen.unionByName(new))
     return seen
 
 
@@ -37,7 +27,7 @@ def subtree(edges: DataFrame, root: str) -> DataFrame:
     seen = new = edges.sparkSession.createDataFrame([(root,)], "id string")
     while not new.isEmpty():
         below = new.join(steps, new["id"] == steps["parent"]).select(F.col("child").alias("id")).distinct()
-        new = _cut(below.join(seen, "id", "left_anti"))
+        new = written(below.join(seen, "id", "left_anti"))
         seen = seen.unionByName(new)
     return seen
 
@@ -47,13 +37,13 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     root reaches have neither."""
     steps = edges.select("child", "parent").distinct()
     new = nodes.join(steps, nodes["id"] == steps["child"], "left_anti").select("id", F.lit(0).alias("depth"), F.col("id").alias("root"))
-    seen = new = _cut(new)
+    seen = new = written(new)
     depth = 0
     while not new.isEmpty():
         depth += 1
         grown = new.join(steps, new["id"] == steps["parent"]).groupBy(F.col("child").alias("id")).agg(F.lit(depth).alias("depth"), F.min("root").alias("root"))
-        new = _cut(grown.join(seen, "id", "left_anti"))
-        seen = _cut(seen.unionByName(new))
+        new = written(grown.join(seen, "id", "left_anti"))
+        seen = written(seen.unionByName(new))
     return nodes.select("id").join(seen, "id", "left")
 
 

@@ -59,7 +59,7 @@ EDGES_SQL = """edges AS (
   UNION ALL SELECT 'c/' || c_custkey, 'n/' || c_nationkey FROM customer
   UNION ALL SELECT 'o/' || o_orderkey, 'c/' || o_custkey FROM orders)"""
 CLOSURE_SQL = f"WITH RECURSIVE {EDGES_SQL}, up AS (SELECT child AS node, parent AS ancestor FROM edges UNION SELECT up.node, e.parent FROM up JOIN edges e ON e.child = up.ancestor)"
-TOKENS_SQL = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}\p{{Co}}\p{{M}}]+'), lambda x: x <> '')"
+TOKENS_SQL = r"list_filter(string_split_regex(strip_accents(lower({0})), '[^\p{{L}}\p{{N}}\p{{Co}}\p{{M}}]+'), lambda x: x <> '')"
 
 
 def bm25_sql(table: str, id_: str, columns: dict[str, float], terms: list[str], keep: str = "") -> str:
@@ -566,9 +566,8 @@ def jdn_from_date(t):
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS shown, (epoch(date_trunc('month', o_orderdate))::BIGINT // 86400 + 2440588)::BIGINT AS first_day, (epoch(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::BIGINT // 86400 + 2440587)::BIGINT AS last_day FROM orders""")
 def wikidata_time_bounds(t):
     rows = t.orders.select("o_orderkey", F.date_format("o_orderdate", "'+'yyyy-MM-dd'T00:00:00Z'").alias("time"))
-    y, m, d = worldtime.time_parts(F.col("time"))
-    first, last = worldtime.day_bounds(y, m, d, F.lit(10), F.lit(False))
-    return rows.select("o_orderkey", worldtime.time_text(F.col("time"), F.lit(10)).alias("shown"), first.alias("first_day"), last.alias("last_day"))
+    read = worldtime.read_times(rows.withColumns({"precision": F.lit(10), "julian": F.lit(False)}), "time", "precision", "julian")
+    return read.select("o_orderkey", "shown", "first_day", "last_day")
 
 
 @query("SELECT sha256(string_agg(item_id || chr(9) || sha256(text) || chr(10), '' ORDER BY item_id || chr(9) || sha256(text) || chr(10))) AS manifest FROM benchmark")
