@@ -180,7 +180,7 @@ def build_index(df: DataFrame, id_: str, columns: list[str], path: str) -> None:
     none = F.array().cast("array<string>")
     arrays = df.select(F.col(id_).cast("string").alias("id"), *(F.coalesce(tokens(F.col(c)), none).alias(f"w{i}") for i, c in enumerate(columns)))
     arrays.select("id", sum((F.size(f"w{i}") for i in range(len(columns))), F.lit(0)).alias("len")).write.parquet(f"{path}/lengths")
-    each = F.concat(*(F.transform(f"w{i}", lambda t, p, c=c: F.struct(F.lit(c).alias("column"), t.alias("term"), p.alias("at"))) for i, c in enumerate(columns)))
+    each = F.concat(*(F.transform(f"w{i}", _entry(c)) for i, c in enumerate(columns)))
     rows = arrays.select("id", F.explode(each).alias("x")).groupBy("x.term", "id", "x.column").agg(F.array_sort(F.collect_list("x.at")).alias("positions"))
     folder = F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")
     stored = rows.withColumn("folder", folder).repartition("folder", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("folder", "term", "id")
@@ -188,6 +188,10 @@ def build_index(df: DataFrame, id_: str, columns: list[str], path: str) -> None:
     df.sparkSession.createDataFrame([(KEY_VERSION, list(columns))], "key_version string, columns array<string>").write.parquet(f"{path}/about")
 
 
+def _entry(column: str):
+    return lambda t, p: F.struct(F.lit(column).alias("column"), t.alias("term"), p.alias("at"))
+
+
 def search_index(spark: SparkSession, path: str, query: str, weights: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
     """id, score from a stored index, and notes. Only the folders and row groups of the query's words are read; a prefix
     reads every folder, with the prefix pushed down. Words of a row meet in one group of a bounded size: the query's."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,8 +145,7 @@ def parsed_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     one each, the first; edges between such nodes, none to itself, weights from 0.01 to 1; and the counts of what was
     dropped."""
     fine = nodes.where(F.col("id").isNotNull() & (F.col("id") != ""))
-    first = fine.groupBy("id").agg(F.min("seq").alias("seq"))
-    kept = fine.join(first, ["id", "seq"], "left_semi").select("id", "label", F.coalesce("mass", F.lit(1.0)).alias("mass"))
+    kept = fine.groupBy("id").agg(F.min(F.struct("seq", "label", "mass")).alias("x")).select("id", "x.label", F.coalesce("x.mass", F.lit(1.0)).alias("mass"))
     at = fine.select("seq", "id")
     joined = edges.join(at.select(F.col("seq").alias("s"), F.col("id").alias("a")), "s").join(at.select(F.col("seq").alias("t"), F.col("id").alias("b")), "t").where("a <> b")
     weight = F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.coalesce("w", F.lit(0.5))))
@@ -225,8 +225,6 @@ def register(spark: SparkSession) -> None:
     """The SQL functions contains_any_case(text, needle), case_key(text) and matches(text, pattern); null matches nothing."""
     import unicodedata
 
-    import pandas as pd
-
     from lorekeep.functions.text import compiled, fold
 
     @F.pandas_udf("boolean")

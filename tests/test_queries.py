@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import lorekeep.catalogue_queries  # noqa: F401
 from lorekeep.queries import ORACLES, QUERIES
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
