@@ -100,38 +100,65 @@ def rare_counts(tokens: DataFrame) -> DataFrame:
     return counted.groupBy("_row").agg(F.sum(F.log("n")).alias("log_n"))
 
 
+def _long(word: str) -> str:
+    return hashlib.sha256(word.encode()).hexdigest()
+
+
 class Words:
     """Ids of words; known: words outside the vocabulary with their occurrences."""
 
     def __init__(self, frequent: list[str], known: list[tuple[str, int]] = ()):
         import xxhash
 
-        self.ids = {w: CLASSES + 1 + i for i, w in enumerate(frequent)}
-        self._class = lambda w: 1 + xxhash.xxh32_intdigest(w.encode()[-3:]) % CLASSES
-        self.ids |= {w: VOCABULARY + i for i, (w, _) in enumerate(known)}
-        self.class_of = np.concatenate([np.arange(VOCABULARY), [self._class(w) for w, _ in known]]).astype(np.int32)
+        others = [w for w, _ in known]
+        self.table = pa.array([*frequent, *others], pa.string())
+        #: Of each word of the table, and -1 for none: dictionary lookups of unknown words give place -1.
+        self.ids = np.array([*range(CLASSES + 1, CLASSES + 1 + len(frequent)), *range(VOCABULARY, VOCABULARY + len(others)), -1])
+        self._hash = xxhash.xxh32_intdigest
+        self.class_of = np.concatenate([np.arange(VOCABULARY), [self._class(w.encode()) for w in others]]).astype(np.int32)
         self.logs = np.concatenate([np.zeros(VOCABULARY), np.log([n for _, n in known])])
+        self.hashed = {w: int(k) for w, k in zip([*frequent, *others], self.ids, strict=False) if len(w) == 64}
+        self.ends: dict[int, int] = {}
+
+    def _class(self, word: bytes) -> int:
+        return 1 + self._hash(word[-3:]) % CLASSES
+
+    def _classes(self, words: pa.Array, which: np.ndarray) -> np.ndarray:
+        """The classes of the given ones of distinct words, by their last three bytes: each ending is hashed once."""
+        begins = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        data, last, n = np.frombuffer(words.buffers()[2], np.uint8), begins[1:][which], np.minimum(np.diff(begins)[which], 3)
+        code = n.astype(np.int64)
+        for k in (3, 2, 1):
+            code = code << 8 | np.where(n >= k, data[last - np.minimum(k, n)], 0)
+        kinds, place = np.unique(code, return_inverse=True)
+        for c in kinds.tolist():
+            if c not in self.ends:
+                self.ends[c] = self._class((c & 0xFFFFFF).to_bytes(3, "big")[3 - (c >> 24) :])
+        return np.array([self.ends[c] for c in kinds.tolist()], np.int64)[place]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
         """Of texts cut into words together, each distinct one looked up once: all ids, where each text's begin, with the
         end, the logs of the occurrences of its known words outside the vocabulary, summed, and its unknown words."""
         cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         words = cut.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        ids = list(map(self.ids.get, names))
-        unknown = np.zeros(len(names), bool)
-        for i, (k, w) in enumerate(zip(ids, names, strict=True)):
-            if k is None:
-                key = hashlib.sha256(w.encode()).hexdigest() if len(w.encode()) > LONG else w
-                k = self.ids.get(key)
-                if k is None and w:
-                    k, unknown[i] = self._class(key), True
-                ids[i], names[i] = -1 if k is None else k, key  # blanks at the ends leave an empty word
-        ids, at = np.array(ids, np.int64), np.asarray(words.indices)
+        names, at = words.dictionary, np.asarray(words.indices)
+        ids = self.ids[np.asarray(pc.fill_null(pc.index_in(names, value_set=self.table), -1))]
+        sizes = np.asarray(pc.binary_length(names))
+        for i in np.flatnonzero(sizes > LONG):  # counted under their hashes
+            ids[i] = self.hashed.get(_long(names[int(i)].as_py()), -1)
+        unknown = (ids < 0) & (sizes > 0)  # blanks at the ends leave an empty word
+        which = np.flatnonzero(unknown)
+        if len(which):
+            ids[which] = self._classes(names, which)
+        if (unknown & (sizes > LONG)).any():
+            listed = [_long(w) if n > LONG else w for w, n in zip(names.to_pylist(), sizes, strict=True)]
+            names = pa.array(listed, pa.string())
+            for i in np.flatnonzero(unknown & (sizes > LONG)):
+                ids[i] = self._class(listed[i].encode())
         offsets = np.asarray(cut.offsets) - cut.offsets[0].as_py()
         real, new, logs = (ids >= 0)[at], unknown[at], np.append(np.where(ids >= 0, self.logs[ids], 0.0)[at], 0.0)
         before = lambda x: np.concatenate([[0], np.cumsum(x)])[offsets]
-        lists = pa.ListArray.from_arrays(pa.array(before(new).astype(np.int32)), pa.array(names, pa.string()).take(pa.array(at[new])))
+        lists = pa.ListArray.from_arrays(pa.array(before(new).astype(np.int32)), names.take(pa.array(at[new])))
         sums = np.where(np.diff(offsets) > 0, np.add.reduceat(logs, offsets[:-1]), 0.0) if len(texts) else np.zeros(0)
         return self.class_of[ids[at[real]]], before(real), sums, lists
 

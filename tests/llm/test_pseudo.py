@@ -54,7 +54,7 @@ def test_each_position_is_a_target_once():
 def charges(texts):
     """What the corpus-wide shares of words in their classes add to each text's score."""
     counts = Counter(w for t in texts.values() for w in (t.text or "").encode().split())
-    ids = {w: int(pseudo.Words([]).of(w.decode())[0]) for w in counts}
+    ids = dict(zip(counts, pseudo.Words([]).of(" ".join(w.decode() for w in counts)).tolist(), strict=True))
     frequent = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].decode()))[: pseudo.VOCABULARY - pseudo.CLASSES - 1]}
     classes = Counter()
     for w, n in counts.items():
@@ -220,3 +220,28 @@ def test_long_words_and_unknown_words(spark, monkeypatch):
     assert [w for w, _ in pseudo.known_words(docs)] == [hashlib.sha256(long.encode()).hexdigest()]
     few = {r.doc_id: r.log_likelihood for r in pseudo.scores(docs).collect()}
     assert all(math.isclose(every[i], few[i], abs_tol=1e-4) for i in every)
+
+
+def test_words_by_themselves_and_together():
+    """Ids, logs and unknown words of a batch are those of word by word lookups."""
+    import pyarrow as pa
+    import xxhash
+
+    long = "y" * 65
+    known = [("mid", 9), (hashlib.sha256(long.encode()).hexdigest(), 4), ("é", 2)]
+    words = pseudo.Words(["the", "of"], known)
+    texts = ["the mid of é", None, "", " \t the\n", f"x ab abc {long} {'z' * 80} zabc é", "ü\u2003w", "of"]
+    ids, begins, logs, unknown = words.batch(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        want, log, rest = [], 0.0, []
+        for w in (t or "").encode().split():
+            key = hashlib.sha256(w).hexdigest().encode() if len(w) > 64 else w
+            counts = {a.encode(): n for a, n in known}
+            log += math.log(counts.get(key, 1))
+            if key not in (b"the", b"of") and key not in counts:
+                rest.append(key.decode())
+            want.append(pseudo.CLASSES + 1 + [b"the", b"of"].index(key) if key in (b"the", b"of") else 1 + xxhash.xxh32_intdigest(key[-3:]) % pseudo.CLASSES)
+        assert ids[begins[i] : begins[i + 1]].tolist() == want
+        assert math.isclose(logs[i], log, abs_tol=1e-12) and unknown[i].as_py() == rest
+    sliced = words.batch(pa.array(["q r", *texts, "s"], pa.string())[1:-1])
+    assert sliced[0].tolist() == ids.tolist()
