@@ -249,7 +249,7 @@ def dedup(docs: DataFrame, window: int = 20, doublings: int = 2, with_text: bool
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(least, -(-total // chunk_bytes))
-    bits = buckets_for(total, least, bucket_bytes)
+    bits = buckets_for(total, 1, bucket_bytes)  # partitions don't count: every chunk writes to every bucket
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     answers = None
