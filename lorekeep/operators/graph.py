@@ -17,7 +17,7 @@ def closure(edges: DataFrame) -> DataFrame:
     while not new.isEmpty():
         grown = new.join(steps, new["ancestor"] == steps["mid"]).select("node", F.col("up").alias("ancestor")).distinct()
         new = written(grown.join(seen, ["node", "ancestor"], "left_anti"))
-        seen = written(seen.unionByName(new))
+        seen = seen.unionByName(new)
     return seen
 
 
@@ -43,14 +43,33 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         depth += 1
         grown = new.join(steps, new["id"] == steps["parent"]).groupBy(F.col("child").alias("id")).agg(F.lit(depth).alias("depth"), F.min("root").alias("root"))
         new = written(grown.join(seen, "id", "left_anti"))
-        seen = written(seen.unionByName(new))
+        seen = seen.unionByName(new)
     return nodes.select("id").join(seen, "id", "left")
 
 
+def descendants(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, descendants of ``levels``: the distinct nodes below. Where no node has two parents and a root reaches all, they
+    are summed level by level from the deepest; else they are counted in the closure."""
+    steps = edges.where("parent is not null").select("child", "parent").distinct()
+    parents = steps.groupBy("child").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    deepest, unplaced = placed.agg(F.max("depth"), F.count_if(F.col("depth").isNull())).first()
+    lost = steps.join(placed.select(F.col("id").alias("child")), "child", "left_anti")
+    if parents > 1 or unplaced or deepest is None or not lost.isEmpty():
+        return closure(edges).groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("descendants"))
+    rows = placed.select("id", "depth").join(steps, F.col("id") == F.col("child"), "left").select("id", "depth", "parent")
+    below, every = None, None
+    for depth in range(deepest, 0, -1):
+        here = rows.where(F.col("depth") == depth)
+        here = here.withColumn("descendants", F.lit(0)) if below is None else here.join(below, "id", "left").withColumn("descendants", F.coalesce("descendants", F.lit(0)))
+        below = written(here.groupBy(F.col("parent").alias("id")).agg(F.sum(F.col("descendants") + 1).alias("descendants")))
+        every = below if every is None else every.unionByName(below)
+    return edges.sparkSession.createDataFrame([], "id string, descendants bigint") if every is None else every
+
+
 def stats(nodes: DataFrame, edges: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """id, depth, root, descendants (distinct), docs."""
-    below = closure(edges).groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("descendants"))
-    out = levels(nodes, edges).join(below, "id", "left")
+    placed = written(levels(nodes, edges))
+    out = placed.join(descendants(placed, edges), "id", "left")
     n = F.lit(0)
     if docs is not None:
         out = out.join(docs.groupBy("id").agg(F.count("*").alias("_docs")), "id", "left")
@@ -100,19 +119,35 @@ def tree(edges: DataFrame, root: str, depth: int = 3) -> DataFrame:
     return out
 
 
+class _Checks(dict):
+    """Frames that are made when they are read."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return super().__getitem__(name)()
+
+    def items(self):
+        return [(k, self[k]) for k in self]
+
+    def values(self):
+        return [self[k] for k in self]
+
+
 def skos_checks(labels: DataFrame, edges: DataFrame, related: DataFrame, mappings: DataFrame) -> dict[str, DataFrame]:
     """Violations by check: label kinds that overlap, two preferred labels in a language, related above or below, exact
-    matches that are also hierarchical."""
+    matches that are also hierarchical. Each is a plan of its own; the closure under S27 runs when it is asked for."""
     a, b = labels.alias("a"), labels.alias("b")
     same = (F.col("a.concept") == F.col("b.concept")) & (F.col("a.lang") == F.col("b.lang")) & (F.col("a.text") == F.col("b.text")) & (F.col("a.kind") < F.col("b.kind"))
     s13 = a.join(b, same).select("a.concept", "a.lang", "a.text").distinct()
     s14 = labels.where("kind = 'pref'").groupBy("concept", "lang").agg(F.count("*").alias("n")).where("n > 1")
-    above = closure(edges)
     both = related.select("a", "b").unionByName(related.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    s27 = both.join(above, (both["a"] == above["node"]) & (both["b"] == above["ancestor"]), "left_semi")
+
+    def s27() -> DataFrame:
+        above = closure(edges)
+        return both.join(above, (both["a"] == above["node"]) & (both["b"] == above["ancestor"]), "left_semi")
+
     exact = mappings.where("relation = 'exactMatch'").select("from_id", "to_id")
     other = mappings.where("relation in ('broadMatch', 'narrowMatch', 'relatedMatch')").select("from_id", "to_id")
-    return {"S13": s13, "S14": s14, "S27": s27, "S46": exact.join(other, ["from_id", "to_id"], "left_semi")}
+    return _Checks({"S13": lambda: s13, "S14": lambda: s14, "S27": s27, "S46": lambda: exact.join(other, ["from_id", "to_id"], "left_semi")})
 
 
 def seed_problems(seeds: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,27 +23,37 @@ def manifest(files: DataFrame, bits: int = 512) -> DataFrame:
 
 
 def chain(rows: DataFrame, bits: int = 512) -> DataFrame:
-    """rows (seq, FIELDS) with prev and hash. A hash chain is sequential by definition: a ledger, of people's actions,
-    is folded in one task; verifying is not."""
-    genesis = "0" * (bits // 4)
+    """rows (seq, FIELDS) with prev and hash. A hash chain is sequential by definition: one task walks the sorted rows of
+    a ledger of people's actions, a row at a time. Verifying is parallel."""
+    import hashlib
+
+    digest = {256: hashlib.sha256, 512: hashlib.sha512}[bits]
     fields = F.concat_ws(SEPARATOR, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FIELDS))
-    ordered = rows.agg(F.array_sort(F.collect_list(F.struct("seq", fields.alias("f")))).alias("a"))
-    zero = F.struct(F.lit(genesis).alias("last"), F.array().cast("array<struct<seq:bigint,prev:string,hash:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        h = F.sha2(F.concat(acc["last"], F.lit(SEPARATOR), x["f"]), bits)
-        return F.struct(h.alias("last"), F.concat(acc["out"], F.array(F.struct(x["seq"].cast("long").alias("seq"), acc["last"].alias("prev"), h.alias("hash")))).alias("out"))
+    def walk(frames):
+        last = "0" * (bits // 4)
+        for f in frames:
+            prev, hashes = [], []
+            for text in f["f"]:
+                prev.append(last)
+                last = digest((last + SEPARATOR + text).encode()).hexdigest()
+                hashes.append(last)
+            yield pd.DataFrame({"seq": f["seq"], "prev": prev, "hash": hashes})
 
-    hashes = ordered.select(F.explode(F.aggregate("a", zero, step, lambda acc: acc["out"])).alias("h")).select("h.*")
-    return rows.join(hashes, "seq")
+    ordered = rows.select(F.col("seq").cast("long").alias("seq"), fields.alias("f")).repartition(1).sortWithinPartitions("seq", "f")
+    return rows.join(ordered.mapInPandas(walk, "seq long, prev string, hash string"), "seq")
 
 
 def verify_chain(ledger: DataFrame, bits: int = 512) -> DataFrame:
-    """seq, problem of the rows that do not follow from the row before or from their own fields."""
-    before = F.coalesce(F.lag("hash").over(Window.orderBy("seq")), F.lit("0" * (bits // 4)))
+    """seq, problem of the rows that do not follow from the row before or from their own fields. The row before is found
+    within ranges of seq, and at their edges from one row for each range."""
+    ranged = ledger.repartitionByRange("seq").withColumn("_range", F.spark_partition_id())
+    ends = ranged.groupBy("_range").agg(F.max_by("hash", "seq").alias("_end"))
+    edge = ends.withColumn("_edge", F.coalesce(F.lag("_end").over(Window.orderBy("_range")), F.lit("0" * (bits // 4)))).drop("_end")  # a row a range
+    inside = F.lag("hash").over(Window.partitionBy("_range").orderBy("seq"))
+    rows = ranged.withColumn("_inside", inside).join(F.broadcast(edge), "_range").withColumn("_before", F.coalesce("_inside", "_edge"))
     want = F.sha2(F.concat_ws(SEPARATOR, F.coalesce("prev", F.lit("")), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FIELDS)), bits)
-    rows = ledger.withColumn("_before", before)
-    problem = F.when(F.col("prev") != F.col("_before"), "broken link").when(F.col("hash") != want, "changed row")
+    problem = F.when(~F.col("prev").eqNullSafe(F.col("_before")), "broken link").when(~F.col("hash").eqNullSafe(want), "changed row")
     return rows.select("seq", problem.alias("problem")).where("problem is not null")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.vectors import cosine
 
+#: Vectors of a shard, about.
+SHARD_ROWS = 100_000
 #: Letters first and last, marks between; or a single letter.
 TOKEN = r"(\p{L}[\p{L}\p{N}_'-]*[\p{L}\p{N}]|\p{L})"
 
@@ -53,25 +55,33 @@ def lsa(weights: DataFrame, ids: list, dims: int = 48) -> tuple[list, np.ndarray
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 6, block: int = 2048) -> DataFrame:
     """queries and vectors (id, v) -> id, neighbour, similarity, rank from 0: exact cosine by blocks of queries times
     batches of vectors, k kept for each query and batch and then overall; positive, without the row itself."""
+    shards = max(64, -(-vectors.count() // SHARD_ROWS))
     blocks = queries.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // block)))).cast("int"))
     numbers = blocks.select(F.col("_b").alias("_c")).distinct()
     others = vectors.select(F.col("id").alias("vid"), F.col("v").alias("vv"))
-    dealt = others.crossJoin(F.broadcast(numbers)).withColumn("_d", F.pmod(F.xxhash64("vid"), F.lit(64)).cast("int"))
-    mine = blocks.crossJoin(F.broadcast(queries.sparkSession.range(64).select(F.col("id").cast("int").alias("_s"))))
+    # Exact search: every block of queries meets every shard of vectors once; both counts are bounded by their rows.
+    dealt = others.crossJoin(F.broadcast(numbers)).withColumn("_d", F.pmod(F.xxhash64("vid"), F.lit(shards)).cast("int"))
+    mine = blocks.crossJoin(F.broadcast(queries.sparkSession.range(shards).select(F.col("id").cast("int").alias("_s"))))
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        lists = column.combine_chunks()
+        flat = np.asarray(lists.flatten(), np.float64).reshape(len(lists), -1)
+        return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-30)
 
     def multiply(q: pa.Table, v: pa.Table) -> pa.Table:
         kind = {"id": pa.int64(), "neighbour": pa.int64(), "similarity": pa.float64()}
         if not q.num_rows or not v.num_rows:
             return pa.table({n: pa.array([], t) for n, t in kind.items()})
-        a, b = (np.array(t.column(c).to_pylist(), np.float64) for t, c in ((q, "v"), (v, "vv")))
-        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) for x in (a, b))
+        v = v.sort_by("vid")  # of equal similarities the least ids are kept
         qi, vi = np.asarray(q.column("id")), np.asarray(v.column("vid"))
-        s = a @ b.T
+        s = matrix(q.column("v")) @ matrix(v.column("vv")).T
         s[qi[:, None] == vi[None, :]] = -1
-        n = min(k + 8, s.shape[1])
-        top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-        rows = np.repeat(np.arange(len(qi)), n)
-        return pa.table({"id": qi[rows], "neighbour": vi[top.ravel()], "similarity": s[rows, top.ravel()]})
+        n, r = min(k, s.shape[1]), np.round(s, 9)  # what counts as equal
+        least = -np.partition(-r, n - 1, axis=1)[:, n - 1 : n]
+        above, level = r > least, r == least
+        keep = above | (level & (np.cumsum(level, axis=1) <= n - above.sum(1, keepdims=True)))
+        rows, cols = np.nonzero(keep)
+        return pa.table({"id": qi[rows], "neighbour": vi[cols], "similarity": s[rows, cols]})
 
     found = mine.groupBy("_b", "_s").cogroup(dealt.groupBy("_c", "_d")).applyInArrow(multiply, "id long, neighbour long, similarity double").where("similarity > 0")
     order = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 9)), "neighbour")

@@ -196,9 +196,10 @@ def under_semi_join(t):
     return t.orders.join(below, _id("c", "o_custkey") == below["id"], "left_semi").select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def unmatched_anti(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    urgent = t.orders.where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
+    return t.customer.join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""SELECT 'c/' || c_custkey AS child, 'n/' || c_nationkey AS parent, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS stated
@@ -342,9 +343,10 @@ def symmetric_pairs(t):
     return graph.symmetric(t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")))
 
 
-@query("SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase'")
+@query("SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 60")
 def set_vanished(t):
-    return links.vanished(*(t.events.where(F.col("event_type") == e).select(F.col("user_id").alias("id")) for e in ("view", "purchase")))
+    ids = lambda condition: t.events.where(condition).select(F.col("user_id").alias("id"))
+    return links.vanished(ids("event_type = 'view'"), ids("event_type = 'purchase' and value > 60"))
 
 
 @query("""SELECT 'n/' || n_nationkey AS from_id, 'r/' || n_regionkey AS to_id, 'broadMatch' AS relation, false AS inverse FROM nation UNION ALL SELECT 'r/' || n_regionkey, 'n/' || n_nationkey, 'narrowMatch', true FROM nation""")
@@ -431,11 +433,11 @@ def sibling_parity(t):
     return out.select("parent", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "cv", "ratio")))
 
 
-@query("""WITH v AS (SELECT c_nationkey AS parent, c_custkey AS child, count(o_orderkey) AS v FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2), m AS (SELECT parent, median(v) AS m FROM v GROUP BY 1)
+@query("""WITH v AS (SELECT c_nationkey AS parent, c_custkey AS child, count(o_orderkey) * (1 + c_custkey % 5) AS v FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2), m AS (SELECT parent, median(v) AS m FROM v GROUP BY 1)
 SELECT parent, child, v FROM v JOIN m USING (parent) WHERE v >= 4 AND v >= 3 * greatest(m, 1)""")
 def outsized_children(t):
     v = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_nationkey").alias("parent"), F.col("c_custkey").alias("child")).agg(F.count("*").alias("v"))
-    return audit.outsized(v)
+    return audit.outsized(v.withColumn("v", F.col("v") * (1 + F.col("child") % 5)))
 
 
 @query("SELECT c_nationkey, list_sort(list(c_acctbal))[round_even(0.9 * (count(*) - 1), 0)::INT + 1] AS p90 FROM customer GROUP BY 1")
@@ -475,10 +477,17 @@ def audit_null(t):
 
 
 def _ranks(t):
-    return t.embeddings.select(F.col("vec_id").alias("query"), F.concat(F.lit("l"), F.col("label")).alias("lang"), F.when(F.col("vec_id") % 7 != 0, F.col("vec_id") % 15 + 1).alias("rank"))
+    """The rank of the first neighbour of a query's own label, by cosine; queries are the vectors, languages their labels."""
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    named = t.embeddings.select(F.col("vec_id").alias("id"), "label")
+    near = semantic.nearest(rows, rows, 15).join(named, "id").join(named.select(F.col("id").alias("neighbour"), F.col("label").alias("theirs")), "neighbour")
+    first = near.where("label = theirs").groupBy("id").agg((F.min("rank") + 1).alias("rank"))
+    return named.join(first, "id", "left").select(F.col("id").alias("query"), F.concat(F.lit("l"), "label").alias("lang"), "rank")
 
 
-METRICS_SQL = """r AS (SELECT vec_id, 'l' || label AS lang, CASE WHEN vec_id % 7 <> 0 THEN vec_id % 15 + 1 END AS rank FROM embeddings),
+METRICS_SQL = """e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), p AS (SELECT a.id, b.label = a.label AS same, round(list_cosine_similarity(a.v, b.v), 9) AS s, b.id AS other FROM e a, e b WHERE a.id <> b.id),
+k AS (SELECT id, same, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rank FROM p WHERE s > 0), f AS (SELECT id, min(rank) AS rank FROM k WHERE same AND rank <= 15 GROUP BY 1),
+r AS (SELECT e.id, 'l' || label AS lang, rank FROM e LEFT JOIN f USING (id)),
 m AS (SELECT lang, CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END AS mrr, CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END AS recall, CASE WHEN rank <= 10 THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END AS ndcg FROM r),
 l AS (SELECT lang, count(*) AS n, avg(mrr) AS mrr, avg(recall) AS recall, avg(ndcg) AS ndcg FROM m GROUP BY 1)"""
 
@@ -575,16 +584,25 @@ def manifest_sha(t):
     return integrity.manifest(t.benchmark.select(F.col("item_id").cast("string").alias("name"), F.sha2("text", 256).alias("digest")), 256)
 
 
-@query()
+def _ledger(t):
+    fields = {"at": F.lit("at"), "actor": F.lit("actor"), "action": F.lit("action"), "target": F.col("n_name"), "detail": F.col("n_regionkey").cast("string"), "receipt": F.lit(None).cast("string"), "undo": F.lit(None).cast("string")}
+    return t.nation.select(F.col("n_nationkey").cast("long").alias("seq"), *(c.alias(n) for n, c in fields.items()))
+
+
+CHAIN_SQL = """n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation), c AS (SELECT 0::BIGINT AS i, repeat('0', 64) AS prev, repeat('0', 64) AS hash
+UNION ALL SELECT n.i, c.hash, sha256(c.hash || chr(31) || 'at' || chr(31) || 'actor' || chr(31) || 'action' || chr(31) || n_name || chr(31) || n_regionkey || chr(31) || chr(31)) FROM c JOIN n ON n.i = c.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {CHAIN_SQL} SELECT n_nationkey::BIGINT AS seq, prev, hash FROM c JOIN n USING (i)")
 def ledger_chain(t):
-    rows = t.nation.select(F.col("n_nationkey").cast("long").alias("seq"), *(F.lit(f).alias(f) for f in ("at", "actor", "action")), F.col("n_name").alias("target"), *(F.lit(None).cast("string").alias(f) for f in ("detail", "receipt", "undo")))
-    return integrity.chain(rows)
+    return integrity.chain(_ledger(t), 256).select("seq", "prev", "hash")
 
 
-@query("SELECT 3::BIGINT AS seq, 'changed row' AS problem")
+@query("SELECT n_nationkey::BIGINT AS seq, CASE WHEN n_nationkey % 7 = 3 THEN 'changed row' ELSE 'broken link' END AS problem FROM nation WHERE n_nationkey % 7 = 3 OR n_nationkey = 11 ORDER BY 1")
 def ledger_verify(t):
-    rows = t.nation.select(F.col("n_nationkey").cast("long").alias("seq"), *(F.lit(f).alias(f) for f in ("at", "actor", "action")), F.col("n_name").alias("target"), *(F.lit(None).cast("string").alias(f) for f in ("detail", "receipt", "undo")))
-    return integrity.verify_chain(integrity.chain(rows, 256).withColumn("target", F.when(F.col("seq") == 3, "forged").otherwise(F.col("target"))), 256)
+    ledger = integrity.chain(_ledger(t), 256)
+    forged = F.when(F.col("seq") % 7 == 3, "forged").otherwise(F.col("target"))
+    return integrity.verify_chain(ledger.withColumn("target", forged).withColumn("prev", F.when(F.col("seq") == 11, "x").otherwise(F.col("prev"))), 256)
 
 
 PART_MAPPING = lean.Mapping(
