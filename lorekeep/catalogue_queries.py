@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text, worldtime
-from lorekeep.operators import claims, graph, grep, imports, records, search
+from lorekeep.operators import claims, graph, grep, imports, integrate, records, search
 from lorekeep.operators.stored import shared_path
 from lorekeep.queries import TOKENS_SQL, Tables, _id, bm25_sql, hierarchy, query
 from lorekeep.sources import web, wikidata
+from lorekeep.sources.lean import Lean
 
 # Search
 
@@ -487,3 +488,79 @@ def registry_conflicts(t):
     sources = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("id"), F.col("r_name").alias("scheme"), "n_nationkey")
     return web.conflicts(sources.drop("n_nationkey"), sources.where("n_nationkey % 2 = 0").select("id"))
 
+
+
+# Integration: parts of two types become concepts of a scheme, a frame for every destination
+
+
+def _integrated(t: Tables) -> dict[str, DataFrame]:
+    p = t.part.where("p_type in ('ECONOMY', 'PROMO')").withColumn("code", F.col("p_partkey").cast("string"))
+    n, none = F.col("p_partkey"), F.lit(None)
+    term = p.select("code", (F.col("p_size") == 1).cast("int").alias("status"), F.col("p_type").alias("kind"))
+    label = p.select("code", F.lit(0).alias("kind"), F.when(n % 3 == 0, "de").otherwise("en").alias("lang"), F.col("p_name").alias("text")).unionByName(p.select("code", F.lit(1).alias("kind"), F.lit("en").alias("lang"), F.col("p_name").alias("text")))
+    ends = p.select(F.col("code").alias("s"), F.when(n % 2 == 0, "broader").otherwise("made_with").alias("pred"), (F.floor(n / 10)).cast("string").alias("o")).where("s <> o")
+    rel = ends.join(term.select(F.col("code").alias("o")), "o", "left_semi").select("s", "pred", "o")
+    empty = lambda kind: none.cast(kind)
+    row = lambda pred, lang, i, r, x: p.select("code", F.lit(pred).alias("pred"), lang.alias("lang"), i.alias("value_int"), r.alias("value_real"), x.alias("value_text"))
+    attr = (
+        row("definition", F.when(n % 5 == 0, "fr").otherwise("en"), empty("bigint"), empty("double"), F.concat(F.lit("d "), "p_name")).where(n % 2 == 0)
+        .unionByName(row("scopeNote", F.lit("en"), empty("bigint"), empty("double"), F.concat(F.lit("s "), "p_name")))
+        .unionByName(row("notation", F.lit(""), empty("bigint"), empty("double"), F.col("p_brand"))).unionByName(row("notation", F.lit(""), empty("bigint"), empty("double"), F.lit("zz")))
+        .unionByName(row("isReplacedBy", F.lit(""), empty("bigint"), empty("double"), F.concat(F.lit("http://w/"), "code")).where("p_size = 1"))
+        .unionByName(row("size", F.lit(""), F.col("p_size").cast("bigint"), empty("double"), empty("string")))
+    )
+    link = p.select("code", F.when(n % 2 == 0, "exactMatch").otherwise("seeAlso").alias("pred"), empty("string").alias("map"), F.when(n % 7 == 0, "nothing known").when(n % 3 == 0, F.concat(F.lit("http://w/"), "code")).otherwise(F.concat(F.lit("GO:"), "code")).alias("target"))
+    preds = t.spark.createDataFrame([("definition", "note", None, None), ("scopeNote", "note", None, None), ("notation", "notation", None, None), ("isReplacedBy", "replacedBy", None, None), ("exactMatch", None, "exactMatch", None), ("broader", "broader", None, None)], "pred string, role string, map string, datatype string")
+    facets = t.spark.createDataFrame([("PROMO", "f/promo")], "kind string, facet_id string")
+    return integrate.integrate(Lean(term, label, rel, attr, link), "x", preds, integrate.Resolver((("http://w/", "wd"),), (("GO", "go"),)), facets)
+
+
+_X = "p AS (SELECT *, p_partkey AS n FROM part WHERE p_type IN ('ECONOMY', 'PROMO'))"
+_TARGET = "CASE WHEN n % 7 = 0 THEN NULL WHEN n % 3 = 0 THEN 'wd/' || n ELSE 'go/' || n END"
+
+
+@query(f"""WITH {_X} SELECT 'x/' || n AS id, n::VARCHAR AS code, p_name AS label, CASE WHEN n % 2 = 0 AND n % 5 <> 0 THEN 'd ' || p_name ELSE 's ' || p_name END AS scope_note,
+p_brand AS notation, CASE WHEN p_size = 1 THEN 'deprecated' ELSE 'active' END AS status, CASE WHEN p_size = 1 THEN 'wd/' || n END AS replaced_by FROM p""")
+def integrated_concepts(t):
+    return _integrated(t)["concept"]
+
+
+@query(f"""WITH {_X} SELECT 'x/' || n AS id, CASE WHEN n % 3 = 0 THEN 'de' ELSE 'en' END AS lang, 'pref' AS kind, p_name AS text FROM p UNION SELECT 'x/' || n, 'en', 'alt', p_name FROM p WHERE n % 3 = 0
+UNION SELECT 'x/' || n, CASE WHEN n % 5 = 0 THEN 'fr' ELSE 'en' END, 'desc', 'd ' || p_name FROM p WHERE n % 2 = 0""")
+def integrated_labels(t):
+    return _integrated(t)["label"]
+
+
+@query(f"WITH {_X} SELECT 'x/' || n AS child, 'x/' || (n // 10) AS parent FROM p WHERE n % 2 = 0 AND n // 10 <> n AND n // 10 IN (SELECT n FROM p)")
+def integrated_broader(t):
+    return _integrated(t)["broader"]
+
+
+@query(f"WITH {_X} SELECT 'x/' || n AS from_id, {_TARGET} AS to_id, 'exactMatch' AS relation, 'declared:x (exactMatch)' AS method, 'proposed' AS status FROM p WHERE n % 2 = 0 AND n % 7 <> 0")
+def integrated_mappings(t):
+    return _integrated(t)["mapping"]
+
+
+@query(f"""WITH {_X} SELECT 'x/' || n AS subject, 'x/@size' AS predicate, NULL::VARCHAR AS object, p_size::VARCHAR AS value, 'int' AS datatype FROM p UNION ALL SELECT 'x/' || n, 'x/@notation', NULL, 'zz', 'string' FROM p
+UNION ALL SELECT 'x/' || n, 'x/@scopeNote', NULL, '{{"language":"en","text":"s ' || p_name || '"}}', 'monolingualtext' FROM p UNION ALL SELECT 'x/' || n, 'x/@made_with', 'x/' || (n // 10), NULL, 'wikibase-item' FROM p WHERE n % 2 = 1 AND n // 10 <> n AND n // 10 IN (SELECT n FROM p)
+UNION ALL SELECT 'x/' || n, 'x/@seeAlso', {_TARGET}, CASE WHEN n % 7 = 0 THEN 'nothing known' END, CASE WHEN n % 7 = 0 THEN 'external-id' ELSE 'wikibase-item' END FROM p WHERE n % 2 = 1""")
+def integrated_claims(t):
+    return _integrated(t)["claim"]
+
+
+@query(f"WITH {_X} SELECT 'x/' || n AS id, 'f/promo' AS facet_id FROM p WHERE p_type = 'PROMO'")
+def integrated_facets(t):
+    return _integrated(t)["facet"]
+
+
+@query(f"WITH {_X} SELECT (SELECT count(*) FROM p WHERE n % 3 <> 0)::BIGINT AS labels_dropped, (SELECT count(*) FROM p WHERE n % 2 = 0 AND n % 7 = 0)::BIGINT AS links_unresolved")
+def integrated_counts(t):
+    return _integrated(t)["counts"]
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'wd/Q' || p_size WHEN 1 THEN 'go/GO_' || p_size WHEN 2 THEN 'm49/' || p_size END AS id FROM part""")
+def link_resolve_forms(t):
+    k = F.col("p_size") % 4
+    link = F.when(k == 0, F.concat(F.lit("http://www.wikidata.org/entity/Q"), "p_size")).when(k == 1, F.concat(F.lit("P686:GO:"), "p_size")).when(k == 2, F.concat(F.lit("m:"), "p_size")).otherwise(F.lit("m:not a code"))
+    r = integrate.Resolver((("http://www.wikidata.org/entity/", "wd"), ("http://www.wikidata.org/", "x")), (("m", "m49"),), (("P686", "go"),))
+    return r(t.part.select("p_partkey", link.alias("target"))).select("p_partkey", "id")
