@@ -85,12 +85,10 @@ def nfc(s: pd.Series) -> pd.Series:
 
 @lru_cache(1)
 def _unusual() -> str:
-    """Characters of which Java's lower case isn't known to be the key: all beyond Latin and punctuation that have a
-    case, and those below whose key is not their lower case."""
+    """Characters of which Java's lower case isn't known to be the key: those below U+0250 whose key is not their lower
+    case, and all from there on but punctuation, CJK and Hangul, as the two may be of different Unicode versions."""
     low = [c for c in range(0x250) if chr(c).lower() != fold(chr(c))]
-    other = [c for c in map(ord, fold_table()[0]) if c >= 0x250]
-    cased = [c for c in range(0x250, 0x20000) if not 0xD800 <= c < 0xE000 and (chr(c).lower() != chr(c) or chr(c).upper() != chr(c))]
-    return _ranges(sorted({*low, *other, *cased}))
+    return _ranges([*low, *range(0x250, 0x2000), *range(0x2070, 0x3000), *range(0xA000, 0xAC00), *range(0xD7B0, 0xD800), *range(0xE000, 0x110000)])
 
 
 def fold_key(text: Column) -> Column:

@@ -206,6 +206,10 @@ def batched(ids: DataFrame, key: str, facts: DataFrame, value: str) -> DataFrame
     return ids.join(found, key, "left").select(key, F.coalesce("found", F.array().cast("array<string>")).alias("found"))
 
 
+def _is(word: str):
+    return lambda t: t == word
+
+
 def lean_search(labels: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """labels (scheme, term, lang, kind, text) of converted sources: names with every word of the query (16 at most), BM25
     in each scheme by itself, the best name of each term, the best terms over all schemes."""
@@ -213,7 +217,7 @@ def lean_search(labels: DataFrame, query: str, limit: int = 50) -> DataFrame:
     if not words:
         raise ValueError("the query has no words")
     rows = labels.select("scheme", "term", "lang", "kind", "text", tokens(F.col("text")).alias("w"))
-    tfs = [F.size(F.filter("w", lambda t, x=x: t == x)).alias(f"tf{k}") for k, x in enumerate(words)]
+    tfs = [F.size(F.filter("w", _is(x))).alias(f"tf{k}") for k, x in enumerate(words)]
     rows = written(rows.select("scheme", "term", "lang", "kind", "text", F.size("w").alias("len"), *tfs))
     totals = rows.groupBy("scheme").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(words))))
     hits = rows.where(search._all([F.col(f"tf{k}") > 0 for k in range(len(words))])).join(totals, "scheme")
