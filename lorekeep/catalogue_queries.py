@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text, worldtime
-from lorekeep.operators import claims, graph, grep, imports, integrate, records, search
+from lorekeep.operators import audit, claims, graph, grep, imports, integrate, integrity, records, search
 from lorekeep.operators.stored import shared_path
 from lorekeep.queries import TOKENS_SQL, Tables, _id, bm25_sql, hierarchy, query
 from lorekeep.sources import web, wikidata
@@ -564,3 +564,31 @@ def link_resolve_forms(t):
     link = F.when(k == 0, F.concat(F.lit("http://www.wikidata.org/entity/Q"), "p_size")).when(k == 1, F.concat(F.lit("P686:GO:"), "p_size")).when(k == 2, F.concat(F.lit("m:"), "p_size")).otherwise(F.lit("m:not a code"))
     r = integrate.Resolver((("http://www.wikidata.org/entity/", "wd"), ("http://www.wikidata.org/", "x")), (("m", "m49"),), (("P686", "go"),))
     return r(t.part.select("p_partkey", link.alias("target"))).select("p_partkey", "id")
+
+
+# Audits and checks
+
+
+@query("""WITH a AS (SELECT 1 AS level, 'r/' || n_regionkey AS area, 'n/' || n_nationkey AS id FROM nation UNION SELECT 1, 'r/' || r_regionkey, 'r/' || r_regionkey FROM region UNION SELECT 1, 'r/' || n_regionkey, 'c/' || c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_nationkey < 5
+UNION SELECT 2, 'n/' || n_nationkey, 'n/' || n_nationkey FROM nation UNION SELECT 2, 'n/' || c_nationkey, 'c/' || c_custkey FROM customer WHERE c_nationkey < 5) SELECT level, area, count(*) AS n FROM a GROUP BY 1, 2""")
+def region_grouping(t):
+    top = t.region.select(_id("r", "r_regionkey").alias("child"), F.lit("w").alias("parent"))
+    edges = top.unionByName(t.nation.select(_id("n", "n_nationkey").alias("child"), _id("r", "n_regionkey").alias("parent"))).unionByName(t.customer.where("c_nationkey < 5").select(_id("c", "c_custkey").alias("child"), _id("n", "c_nationkey").alias("parent")))
+    return graph.areas(edges, "w").groupBy("level", "area").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'orders' AS metric, o_orderstatus AS key, unnest(['n', 'total']) AS measure, unnest([count(*)::DOUBLE, round(sum(o_totalprice), 2)]) AS value FROM orders GROUP BY 2
+UNION ALL SELECT 'parts', p_brand, 'n', count(*)::DOUBLE FROM part GROUP BY 2""")
+def audit_run(t):
+    orders = t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return audit.long_rows({"orders": orders, "parts": t.part.groupBy("p_brand").agg(F.count("*").alias("n"))})
+
+
+@query("""SELECT 'concepts' AS part, p_name AS key, count(*) || ' rows' AS detail FROM part GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'concepts', p_name, 'not allowed' FROM part WHERE p_size % 10 = 0
+UNION ALL SELECT 'ledger', n_nationkey::VARCHAR, 'changed row' FROM nation WHERE n_nationkey = 7""")
+def verify_all(t):
+    concept = t.part.select(F.col("p_name").alias("id"), F.when(F.col("p_size") % 10 == 0, "lost").otherwise("active").alias("status"))
+    fields = {c: F.lit("x") for c in integrity.FIELDS}
+    ledger = integrity.chain(t.nation.select(F.col("n_nationkey").cast("long").alias("seq"), *(v.alias(c) for c, v in fields.items())), 256)
+    forged = ledger.withColumn("detail", F.when(F.col("seq") == 7, "y").otherwise(F.col("detail")))
+    return imports.verified({"concepts": imports.constraints({"concept": concept}).select("key", "detail"), "ledger": integrity.verify_chain(forged, 256)})

@@ -75,3 +75,14 @@ def null_model(members: DataFrame, baseline: DataFrame, reps: int = 2000, seed:
 
     sampled = draws.mapInPandas(draw, "grp string, share double")
     return sampled.groupBy("grp").agg(nearest_rank(F.col("share"), 0.025).alias("low"), nearest_rank(F.col("share"), 0.975).alias("high"))
+
+
+def long_rows(metrics: dict[str, DataFrame]) -> DataFrame:
+    """metric, key, measure, value: an audit's frames (key first, then numbers) as rows that can be stored and compared."""
+    out = None
+    for name, df in metrics.items():
+        key, *measures = df.columns
+        cells = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures))
+        part = df.select(F.lit(name).alias("metric"), F.col(key).cast("string").alias("key"), F.explode(cells).alias("x")).select("metric", "key", "x.measure", "x.value")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -175,3 +175,14 @@ def primary_parents(edges: DataFrame, depth: DataFrame) -> DataFrame:
     d = depth.select(F.col("id").alias("parent"), "depth")
     order = Window.partitionBy("child").orderBy(F.col("depth").asc_nulls_last(), "parent")
     return edges.join(d, "parent", "left").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("child", "parent")
+
+
+def areas(edges: DataFrame, root: str) -> DataFrame:
+    """level, area, id: what lies in the areas below a root (1) and in their parts (2), the areas themselves included. An
+    area without parts is its own part."""
+    steps = edges.select("child", "parent").distinct()
+    first = steps.where(F.col("parent") == root).select(F.col("child").alias("area"))
+    second = first.join(steps, first["area"] == steps["parent"], "left").select(F.coalesce("child", "area").alias("area"))
+    named = first.withColumn("level", F.lit(1)).unionByName(second.withColumn("level", F.lit(2)))
+    below = closure(edges).select(F.col("ancestor").alias("area"), F.col("node").alias("id"))
+    return named.join(below, "area").select("level", "area", "id").unionByName(named.select("level", "area", F.col("area").alias("id"))).distinct()

@@ -189,6 +189,13 @@ def constraints(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
+def verified(parts: dict[str, DataFrame]) -> DataFrame:
+    """part, key, detail: everything that is wrong, over the parts of a catalogue (frames whose first column is a key and
+    whose last says what is wrong). An empty result is a sound catalogue."""
+    rows = [df.select(F.lit(name).alias("part"), F.col(df.columns[0]).cast("string").alias("key"), F.col(df.columns[-1]).cast("string").alias("detail")) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 #: Named views of a catalogue over temp views of its frames; fixed names.
 VIEWS = {
     "v_claim_current": "SELECT * FROM claim WHERE superseded_at IS NULL",

@@ -23,8 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in a folder of its own that goes when the driver ends."""
+    folder, sc = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def written(df: DataFrame) -> DataFrame:
