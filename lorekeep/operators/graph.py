@@ -3,6 +3,8 @@ new, is written out, and stops when nothing is; cycles and many paths to one nod
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,23 +15,32 @@ def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor) for every two nodes with a path, not the node itself unless it is on a cycle."""
     edges = edges.where("parent is not null").select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
     steps = edges.select(F.col("node").alias("mid"), F.col("ancestor").alias("up"))
-    seen = new = written(edges)
+    new = written(edges)
+    seen = [new]
     while not new.isEmpty():
         grown = new.join(steps, new["ancestor"] == steps["mid"]).select("node", F.col("up").alias("ancestor")).distinct()
-        new = written(grown.join(seen, ["node", "ancestor"], "left_anti"))
-        seen = seen.unionByName(new)
-    return seen
+        new = written(_without(grown, seen, ["node", "ancestor"]))
+        seen.append(new)
+    return reduce(DataFrame.unionByName, seen)
+
+
+def _without(df: DataFrame, parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Rows that none of the parts has, each of which was written once."""
+    for p in parts:
+        df = df.join(p.select(*keys), keys, "left_anti")
+    return df
 
 
 def subtree(edges: DataFrame, root: str) -> DataFrame:
     """id of the root, known or not, and of everything below it."""
     steps = edges.select("child", "parent").distinct()
-    seen = new = edges.sparkSession.createDataFrame([(root,)], "id string")
+    new = edges.sparkSession.createDataFrame([(root,)], "id string")
+    seen = [new]
     while not new.isEmpty():
         below = new.join(steps, new["id"] == steps["parent"]).select(F.col("child").alias("id")).distinct()
-        new = written(below.join(seen, "id", "left_anti"))
-        seen = seen.unionByName(new)
-    return seen
+        new = written(_without(below, seen, ["id"]))
+        seen.append(new)
+    return reduce(DataFrame.unionByName, seen)
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,14 +48,14 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     root reaches have neither."""
     steps = edges.select("child", "parent").distinct()
     new = nodes.join(steps, nodes["id"] == steps["child"], "left_anti").select("id", F.lit(0).alias("depth"), F.col("id").alias("root"))
-    seen = new = written(new)
-    depth = 0
+    new = written(new)
+    seen, depth = [new], 0
     while not new.isEmpty():
         depth += 1
         grown = new.join(steps, new["id"] == steps["parent"]).groupBy(F.col("child").alias("id")).agg(F.lit(depth).alias("depth"), F.min("root").alias("root"))
-        new = written(grown.join(seen, "id", "left_anti"))
-        seen = seen.unionByName(new)
-    return nodes.select("id").join(seen, "id", "left")
+        new = written(_without(grown, seen, ["id"]))
+        seen.append(new)
+    return nodes.select("id").join(reduce(DataFrame.unionByName, seen), "id", "left")
 
 
 def descendants(placed: DataFrame, edges: DataFrame) -> DataFrame:
@@ -182,7 +193,7 @@ def areas(edges: DataFrame, root: str) -> DataFrame:
     area without parts is its own part."""
     steps = edges.select("child", "parent").distinct()
     first = steps.where(F.col("parent") == root).select(F.col("child").alias("area"))
-    second = first.join(steps, first["area"] == steps["parent"], "left").select(F.coalesce("child", "area").alias("area"))
+    second = first.join(steps.select("child", F.col("parent").alias("area")), "area", "left").select(F.coalesce("child", "area").alias("area"))
     named = first.withColumn("level", F.lit(1)).unionByName(second.withColumn("level", F.lit(2)))
     below = closure(edges).select(F.col("ancestor").alias("area"), F.col("node").alias("id"))
     return named.join(below, "area").select("level", "area", "id").unionByName(named.select("level", "area", F.col("area").alias("id"))).distinct()
