@@ -59,23 +59,30 @@ def _ranges(codes: list[int]) -> str:
     return "[" + "".join(out) + "]"
 
 
+#: Blocks of common characters: Latin, Greek, Cyrillic, Hebrew, Arabic letters, punctuation, currency, kana, CJK, Hangul.
+_COMMON = ((0x1, 0x2FF), (0x38E, 0x3FF), (0x400, 0x482), (0x48A, 0x52F), (0x5D0, 0x5EA), (0x620, 0x64A), (0x2002, 0x206F), (0x20A0, 0x20CF), (0x3001, 0x3029), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+def _outside(codes: list[int]) -> str:
+    """A Java character class of all but these."""
+    return "[^" + _ranges(codes)[1:]
+
+
 @lru_cache(1)
-def unstable() -> str:
-    """Characters that NFC changes or can join to others; a text without any is in NFC."""
+def maybe_unstable() -> str:
+    """Characters that NFC changes or can join to others, and rare ones: a text without any is in NFC. Common characters
+    that NFC leaves alone are listed instead, as a class of few ranges is quick to test."""
     second = set()
-    for c in range(0x110000):
-        if not 0xD800 <= c < 0xE000:
-            parts = unicodedata.normalize("NFD", chr(c))
-            if len(parts) > 1 and unicodedata.normalize("NFC", parts) == chr(c):
-                second.update(parts[1:])
-    codes = [c for c in range(0x300, 0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.combining(chr(c)) or chr(c) in second or unicodedata.normalize("NFC", chr(c)) != chr(c))]
-    hangul = {c for c in range(0x1161, 0x1176)} | {c for c in range(0x11A8, 0x11C3)}
-    return _ranges(sorted({*codes, *hangul}))
+    for c in range(0xC0, 0x20000):
+        if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4:
+            second.update(unicodedata.normalize("NFD", chr(c))[1:])
+    sure = lambda c: not unicodedata.combining(chr(c)) and chr(c) not in second and unicodedata.normalize("NFC", chr(c)) == chr(c)
+    return _outside([c for a, b in _COMMON for c in range(a, b + 1) if sure(c)])
 
 
 def needs_nfc(text: Column) -> Column:
     """Whether normalisation could change a text; never for ASCII, told by its length in bytes."""
-    return (F.octet_length(text) != F.length(text)) & text.rlike(unstable())
+    return (F.octet_length(text) != F.length(text)) & text.rlike(maybe_unstable())
 
 
 @F.pandas_udf(T.StringType())
@@ -87,8 +94,8 @@ def nfc(s: pd.Series) -> pd.Series:
 def _unusual() -> str:
     """Characters of which Java's lower case isn't known to be the key: those below U+0250 whose key is not their lower
     case, and all from there on but punctuation, CJK and Hangul, as the two may be of different Unicode versions."""
-    low = [c for c in range(0x250) if chr(c).lower() != fold(chr(c))]
-    return _ranges([*low, *range(0x250, 0x2000), *range(0x2070, 0x3000), *range(0xA000, 0xAC00), *range(0xD7B0, 0xD800), *range(0xE000, 0x110000)])
+    low = [c for c in range(1, 0x250) if chr(c).lower() == fold(chr(c))]
+    return _outside([*low, *range(0x2000, 0x2070), *range(0x3000, 0xA000), *range(0xAC00, 0xD7B0)])
 
 
 def fold_key(text: Column) -> Column:
