@@ -1,5 +1,6 @@
 """Exact tokenization with a memo: texts are cut where the tokenizer itself always cuts, and each distinct piece is
-looked up once for many texts together, in a memo that a Python worker keeps."""
+looked up once for many texts together, in a memo that a Python worker keeps. The memo is Arrow arrays: a known piece
+costs its bytes and some 30 more, and is never a Python object."""
 
 from __future__ import annotations
 
@@ -7,15 +8,17 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces in each of the two generations of a worker's memo. When one is full the older is forgotten; that costs time
-#: for pieces that come back, and changes nothing.
+#: Pieces in a worker's memo, and the longest of them in code points. When it is full the half that was not asked for
+#: longest is forgotten; that costs time for pieces that come back, and changes nothing.
 MEMO_PIECES = 400_000
+MEMO_LENGTH = 64
+#: A search in the memo costs as much as tokenizing this share of its pieces: fewer pieces are tokenized without it.
+MEMO_SHARE = 16
 #: A piece enters the memo when it comes for the second time, as far as a table of this many marks can tell; when a
 #: third of them are set, all are cleared.
 MARKS = 1 << 22
@@ -26,7 +29,7 @@ _SPACE_NAME = "\u0120"
 #: Characters of a text that are worked on at once.
 SEGMENT = 1 << 20
 #: Bytes of texts that are cut into pieces together.
-TOGETHER_BYTES = 8 << 20
+TOGETHER_BYTES = 4 << 20
 #: Stand at the start and the end of a text, so that its first piece is known and the end id is a piece of its own.
 _FIRST, _LAST = "\x00", "\x01"
 #: White space that is neither a space nor a line feed, and white space that stands together.
@@ -58,6 +61,12 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _lists(raw: list[bytes]) -> pa.Array:
+    """Ids as lists."""
+    ends = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
 def _even(text: str) -> bool:
     if not text:
         return True
@@ -85,7 +94,10 @@ class Encoder:
         self.tokenize, self.names = self.tokenizer.model.tokenize, _byte_names()
         #: What byte-level vocabularies call the letters of _PLAIN.
         self.letters = {c: chr(c).encode().decode("latin-1").translate(self.names) for c in range(0xC0, 0x250)}
-        self.word_level, self.memo, self.older = word_level, {_LAST: _END}, {}
+        self.word_level = word_level
+        #: The memo: pieces, their ids, and the number of the search that last found each.
+        self.keys, self.known = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+        self.used, self.searches = np.zeros(0, np.int64), 0
         self.symbols: dict[str, bytes] = {"": b""}
         self.seen, self.n_seen = np.zeros(MARKS, bool), 0
         self.line_feed = self._encode(["\n"])[0]
@@ -129,8 +141,7 @@ class Encoder:
         letters, symbols = m.groups()
         if not symbols:
             return head + self._word(letters, lead)
-        key = "\n" + letters if head else letters
-        first = self.memo.get(key) or head + self._word(letters, lead)
+        first = head + self._word(letters, lead)
         end = self.symbols.get(symbols)
         if end is None:
             if len(self.symbols) >= KNOWN_SYMBOLS:
@@ -138,37 +149,52 @@ class Encoder:
             end = self.symbols[symbols] = self._model(symbols)
         return first + end
 
-    def _look_up(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces, from the memo or anew."""
-        found = list(map(self.memo.get, pieces))
-        missing = [i for i, f in enumerate(found) if f is None]
-        if not missing:
-            return found
-        names = [pieces[i] for i in missing]
-        old = list(map(self.older.get, names))
-        tokenize, lead, plain, others = self.tokenize, "" if self.word_level else _SPACE_NAME, self._plain, []
+    def _anew(self, names: list[str]) -> list[bytes]:
+        """The ids of pieces from the tokenizer."""
+        out, others = [], []
+        tokenize, lead, plain = self.tokenize, "" if self.word_level else _SPACE_NAME, self._plain
         for k, name in enumerate(names):
-            if old[k] is None:
-                if name.isascii() and name.isalpha():
-                    old[k] = array("I", [t.id for t in tokenize(lead + name)]).tobytes()
-                else:
-                    old[k] = plain(name)
-                    if old[k] is None:
-                        others.append(k)
+            if name.isascii() and name.isalpha():
+                out.append(array("I", [t.id for t in tokenize(lead + name)]).tobytes())
+            else:
+                out.append(_END if name == _LAST else plain(name))
+                if out[k] is None:
+                    others.append(k)
         for k, raw in zip(others, self._encode([self._as_text(names[k]) for k in others]), strict=True):
-            old[k] = raw
-        for i, raw in zip(missing, old, strict=True):
-            found[i] = raw
+            out[k] = raw
+        return out
+
+    def _look_up(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces, as lists, from the memo or anew."""
+        if len(pieces) * MEMO_SHARE < len(self.keys):
+            return _lists(self._anew(pieces.to_pylist()))
+        at = pc.index_in(pieces, value_set=self.keys)
+        self.searches += 1
+        self.used[np.asarray(at.drop_null())] = self.searches
+        new = np.flatnonzero(np.asarray(at.is_null()))
+        names = pieces.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist()
+        found = _lists(self._anew(names))
+        place = np.array(at.fill_null(0))
+        place[new] = np.arange(len(self.keys), len(self.keys) + len(new), dtype=np.int32)
+        out = pa.concat_arrays([self.known, found]).take(pa.array(place))
+        self._remember(names, found)
+        return out
+
+    def _remember(self, names: list[str], found: pa.Array) -> None:
+        """Pieces that came before enter the memo."""
         marks = np.fromiter(map(hash, names), np.int64, len(names)) % MARKS
         again = self.seen[marks]
         self.seen[marks] = True
         self.n_seen += len(names) - int(again.sum())
         if self.n_seen > MARKS // 3:
             self.seen[:], self.n_seen = False, 0
-        if len(self.memo) >= MEMO_PIECES:
-            self.memo, self.older = {_LAST: _END}, self.memo
-        self.memo.update(compress(zip(names, old, strict=True), again))
-        return found
+        enter = np.flatnonzero(again & (np.fromiter(map(len, names), np.int64, len(names)) <= MEMO_LENGTH))[: MEMO_PIECES // 2]
+        if len(self.keys) + len(enter) > MEMO_PIECES:
+            keep = pa.array(np.sort(np.argsort(self.used)[len(self.used) - MEMO_PIECES // 2 :]))
+            self.keys, self.known, self.used = self.keys.take(keep), self.known.take(keep), self.used[keep]
+        self.keys = pa.concat_arrays([self.keys, pa.array([names[i] for i in enter], pa.string())])
+        self.known = pa.concat_arrays([self.known, found.take(pa.array(enter))])
+        self.used = np.concatenate([self.used, np.full(len(enter), self.searches)])
 
     def _as_text(self, piece: str) -> str:
         if piece[:1] == _FIRST:
@@ -203,18 +229,24 @@ class Encoder:
             return b"".join(self.special.get(part) or self._ordinary(part) for part in self.special_cut.split(text)) + _END
         return self._ordinary(text) + _END
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """ids() of all texts, one after the other, and where each begins, with the end."""
+    def parts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """ids() of a bounded part of the texts at a time, one after the other, and where each begins, with the end."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         sizes = np.asarray(pc.binary_length(texts))
-        ids, lengths, i = [], [], 0
+        i = 0
         while i < len(texts):
             j = i + max(1, int(np.searchsorted(np.cumsum(sizes[i:]), TOGETHER_BYTES, side="right")))
             part = texts[i:j]
-            found = self._one_by_one(part) if self.uncut or sizes[i] > TOGETHER_BYTES else self._together(part)
-            ids.append(found[0])
-            lengths.append(np.diff(found[1]))
+            yield self._one_by_one(part) if self.uncut or sizes[i] > TOGETHER_BYTES else self._together(part)
+            pa.default_memory_pool().release_unused()  # else workers keep the most they ever held
             i = j
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids() of all texts, one after the other, and where each begins, with the end."""
+        ids, lengths = [], []
+        for part, begins in self.parts(texts):
+            ids.append(part)
+            lengths.append(np.diff(begins))
         ends = np.cumsum(np.concatenate([[0], *lengths])).astype(np.int64)
         return np.concatenate(ids) if ids else np.zeros(0, np.int32), ends
 
@@ -231,14 +263,10 @@ class Encoder:
         if self.word_level:
             cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.binary_join_element_wise(texts, _LAST, " ")))
         else:
-            texts = pc.binary_join_element_wise(_FIRST, texts, " ", _LAST, "")
-            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        pieces = cut.flatten().dictionary_encode()
-        known = self._look_up(pieces.dictionary.to_pylist())
-        ends = np.cumsum(np.fromiter(map(len, known), np.int32, len(known)) // 4, dtype=np.int32)
-        each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(known), "<i4")))
-        taken = each.take(pieces.indices)
-        offsets = np.asarray(cut.offsets)
+            cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(_FIRST, texts, " ", _LAST, ""), "\n", " \n"), " ")
+        pieces, offsets = cut.flatten().dictionary_encode(), np.array(cut.offsets)
+        del cut
+        taken = self._look_up(pieces.dictionary).take(pieces.indices)
         ids, begins = np.asarray(taken.values), np.asarray(taken.offsets)[offsets - offsets[0]].astype(np.int64)
         if not len(apart):
             return ids, begins
@@ -258,5 +286,6 @@ class Encoder:
             if not self.word_level and not out:  # nothing stands before the first word
                 out += self._encode(pieces[:1])
                 pieces = pieces[1:]
-            out += self._look_up(pieces)
+            each = pa.array(pieces, pa.string()).dictionary_encode()
+            out.append(np.asarray(self._look_up(each.dictionary).take(each.indices).flatten()).tobytes())
         return b"".join(out)

@@ -37,7 +37,7 @@ LAYOUT = {
     "compression": "zstd",
 }
 #: Bytes of ids in one outgoing Arrow batch, or else one document.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def _encode(path: str):
@@ -46,15 +46,17 @@ def _encode(path: str):
         memo = encoder(path, word_level=False)
         names = ["doc_id", "shard", "place", "first", "n_tokens", "ids"]
         for batch in batches:
-            ids, begins = memo.batch(batch.column(1))
-            i = 0
-            while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(begins, begins[i] + BATCH_BYTES // 4, side="right")) - 1)
-                flat, ends = ids[begins[i] : begins[j]], (begins[i : j + 1] - begins[i]).astype(np.int32)
-                cols = [batch.column(0)[i:j], pa.array(np.full(j - i, shard, np.int32)), pa.array(np.arange(place + i, place + j)), pa.array(first + begins[i:j]), pa.array(np.diff(begins[i : j + 1]))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names)
-                i = j
-            place, first = place + batch.num_rows, first + int(begins[-1])
+            row = 0
+            for ids, begins in memo.parts(batch.column(1)):
+                i, n = 0, len(begins) - 1
+                while i < n:
+                    j = max(i + 1, int(np.searchsorted(begins, begins[i] + BATCH_BYTES // 4, side="right")) - 1)
+                    flat, ends = ids[begins[i] : begins[j]], (begins[i : j + 1] - begins[i]).astype(np.int32)
+                    cols = [batch.column(0)[row + i : row + j], pa.array(np.full(j - i, shard, np.int32)), pa.array(np.arange(place + i, place + j)), pa.array(first + begins[i:j]), pa.array(np.diff(begins[i : j + 1]))]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names)
+                    i = j
+                row, place, first = row + n, place + n, first + int(begins[-1])
+                del ids, flat, cols  # before the next part is encoded
 
     return run
 

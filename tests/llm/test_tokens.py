@@ -1,5 +1,8 @@
 import glob
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 from itertools import combinations_with_replacement
@@ -53,6 +56,40 @@ def test_texts_together_equal_the_tokenizer(monkeypatch, path, word_level):
             assert sliced.tolist() == ids.tolist()
 
 
+WORKER = """
+import re, sys, threading, time
+import numpy as np, pyarrow as pa
+from pyspark import TaskContext
+from lorekeep.llm import tokens
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+def watch():
+    while True:
+        most[0] = max(most[0], held())
+        time.sleep(0.02)
+
+TaskContext.get = classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})())
+rng, most = np.random.default_rng(1), [0]
+threading.Thread(target=watch, daemon=True).start()
+words = ["".join(w) for w in np.array(list("abcdefghijklmnopqrstuvwxyz"))[rng.integers(0, 26, (600_000, 8))].tolist()]
+start, n = held(), 0
+for task in range(5):
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 400)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(texts, pa.string())], ["doc_id", "text"])
+    n += sum(b.num_rows for b in tokens._encode(sys.argv[1])(iter([batch])))
+assert n == 20_000
+print(most[0] - start)
+"""
+
+
+def test_memory_of_a_worker():
+    """8 million words, 600,000 distinct: memo, parts of texts and ids stay small beside the texts."""
+    run = subprocess.run([sys.executable, "-c", WORKER, BYTE], capture_output=True, text=True, check=True, timeout=300, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert float(run.stdout) < 310
+
+
 def test_file_layout_and_selective_reads(spark, sf, tmp_path):
     """Encodings, indexes and bounded row groups of the files; reads of one column and of few documents."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
