@@ -16,3 +16,14 @@ def test_nearby(spark):
     assert "Broadcast" not in plan(got)  # a grid of small rows and many cells went through the driver
     want = sorted((a, b) for a, x, y in points for b, u, v in points if a < b and (x - u) ** 2 + (y - v) ** 2 <= 4)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_documents_of_titles(spark):
+    r = random.Random(2)
+    concepts = [(i, r.choice(["a", "b", "c", "d", None])) for i in range(40)] + [(3, "a"), (3, "b"), (5, "zz")] * 2
+    documents = [(100 + i, r.choice(["A", "B", "d", "none", None])) for i in range(40)] + [(103, "A"), (103, "B")] * 2
+    aliases = [("a", "A"), ("b", "B"), ("b", "A"), ("c", "d")]
+    got = records.documents_of_titles(spark.createDataFrame(concepts, "id long, page string"), spark.createDataFrame(documents, "doc_id long, title string"), spark.createDataFrame(aliases, "alias string, title string"))
+    pages = {(i, to) for i, p in concepts if p for to in [t for a, t in aliases if a == p] or [p]}
+    want = sorted({(d, i) for d, t in documents for i, to in pages if t == to})
+    assert sorted(map(tuple, got.collect())) == want
