@@ -27,3 +27,11 @@ def test_documents_of_titles(spark):
     pages = {(i, to) for i, p in concepts if p for to in [t for a, t in aliases if a == p] or [p]}
     want = sorted({(d, i) for d, t in documents for i, to in pages if t == to})
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_title_multimap_reads_all_orders(spark, sf):
+    from lorekeep.queries import ORACLES, QUERIES
+
+    assert "o_orderkey %" not in ORACLES["title_multimap"]
+    got = QUERIES["title_multimap"](spark, sf)
+    assert got.select("doc_id").distinct().count() == spark.read.parquet(f"{sf}/orders.parquet").count()
