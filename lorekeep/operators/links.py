@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.operators.pairing import dealt_join
+
+#: What shares an item of the hub is joined in so many lists, which are only then taken apart.
+LISTS = 32
+
 
 def resolve_prefix(links: DataFrame, prefixes: list[tuple[str, str]]) -> DataFrame:
     """links (link) with scope, code and id by the longest of the prefixes, a registry that is a list on the driver; no
@@ -34,14 +39,21 @@ def with_inverse(mappings: DataFrame) -> DataFrame:
 
 def two_hops(mappings: DataFrame, hub_scope: str) -> DataFrame:
     """(id, via, to_id): what shares an accepted item of the hub with a concept, in either direction; direct mappings
-    first."""
+    first, else the least item. Pairs can only meet twice if both ends have several items, or be direct if both have a
+    mapping to one that has items itself; all others, as many as they are, need no comparison with each other."""
     both = with_inverse(mappings.where("status = 'accepted'")).select("from_id", "to_id").distinct()
-    via = both.where(F.startswith("to_id", F.lit(hub_scope + "/")))
-    onward = both.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("far"))
-    direct = both.select(F.col("from_id").alias("id"), F.lit(None).cast("string").alias("via"), "to_id", F.lit(0).alias("_p"))
-    far = via.join(onward, "to_id").where("far <> from_id").select(F.col("from_id").alias("id"), F.col("to_id").alias("via"), F.col("far").alias("to_id"), F.lit(1).alias("_p"))
-    order = Window.partitionBy("id", "to_id").orderBy("_p", "via")
-    return direct.unionByName(far).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_p")
+    direct = both.select(F.col("from_id").alias("id"), F.lit(None).cast("string").alias("via"), "to_id")
+    items = both.where(F.startswith("to_id", F.lit(hub_scope + "/"))).select(F.col("from_id").alias("id"), F.col("to_id").alias("via"))
+    ends = items.groupBy("id").agg((F.count("*") > 1).alias("_several"))
+    inner = both.join(ends.select("id"), F.col("from_id") == F.col("id"), "left_semi").join(ends.select("id"), F.col("to_id") == F.col("id"), "left_semi")
+    marks = ends.where("_several").select("id").unionByName(inner.select(F.col("from_id").alias("id"))).distinct().withColumn("_mark", F.lit(True))
+    x = items.join(marks, "id", "left").select("id", "via", F.coalesce("_mark", F.lit(False)).alias("_x"))
+    y = x.select(F.col("id").alias("to_id"), "via", F.col("_x").alias("_y"))
+    lists = y.groupBy("via", "_y", F.pmod(F.xxhash64("to_id"), F.lit(LISTS)).alias("_b")).agg(F.collect_list("to_id").alias("_ids")).drop("_b")
+    once = dealt_join(x, lists, ["via"], 64).where(~(F.col("_x") & F.col("_y"))).select("id", "via", F.explode("_ids").alias("to_id")).where("to_id <> id")
+    again = dealt_join(x.where("_x"), y.where("_y"), ["via"], 64).where("to_id <> id").groupBy("id", "to_id").agg(F.min("via").alias("via"))
+    again = again.join(inner.select(F.col("from_id").alias("id"), "to_id"), ["id", "to_id"], "left_anti").select("id", "via", "to_id")
+    return direct.unionByName(once).unionByName(again)
 
 
 def triangle(edges: DataFrame, matches: DataFrame, stated: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from lorekeep.operators import records
+from lorekeep.operators import links, records
 
 
 def plan(df):
@@ -35,3 +35,20 @@ def test_title_multimap_reads_all_orders(spark, sf):
     assert "o_orderkey %" not in ORACLES["title_multimap"]
     got = QUERIES["title_multimap"](spark, sf)
     assert got.select("doc_id").distinct().count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+def test_two_hops(spark):
+    r = random.Random(3)
+    names = [f"a/{i}" for i in range(12)] + [f"wd/{i}" for i in range(5)]
+    for n in (10, 40, 80):
+        maps = [(r.choice(names), r.choice(names), "exactMatch", r.choice(["accepted", "accepted", "no"])) for _ in range(n)]
+        got = links.two_hops(spark.createDataFrame(maps, "from_id string, to_id string, relation string, status string"), "wd")
+        assert "Window" not in plan(got)  # all pairs were sorted by both ends
+        both = {p for a, b, _, s in maps if s == "accepted" for p in ((a, b), (b, a))}
+        want = {(a, b): None for a, b in both}
+        for a, w in sorted(both, key=lambda p: p[1]):
+            for v, b in both:
+                if v == w and w.startswith("wd/") and b != a:
+                    want.setdefault((a, b), w)
+        rows = [tuple(x) for x in got.collect()]
+        assert len(rows) == len(want) and {(a, b): w for a, w, b in rows} == want
