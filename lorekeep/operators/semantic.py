@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.vectors import cosine
 
-#: Vectors of a shard, about.
-SHARD_ROWS = 100_000
+#: Vectors of a shard and queries of a block, about.
+SHARD_ROWS, BLOCK_ROWS = 100_000, 25_000
+#: Queries and vectors that are multiplied at once, vectors that set a first bar, pairs computed in double precision at once.
+TILE, FIRST, CANDIDATES = (256, 8192), 2048, 65536
 #: Letters first and last, marks between; or a single letter.
 TOKEN = r"(\p{L}[\p{L}\p{N}_'-]*[\p{L}\p{N}]|\p{L})"
 
@@ -52,21 +54,58 @@ def lsa(weights: DataFrame, ids: list, dims: int = 48) -> tuple[list, np.ndarray
     return ids, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 6, block: int = 2048) -> DataFrame:
+def _rows_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of length 1 as rows."""
+    lists = column.combine_chunks()
+    flat = np.asarray(lists.flatten(), np.float64).reshape(len(lists), -1)
+    return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-30)
+
+
+def _best(qi: np.ndarray, q: np.ndarray, vi: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and vectors, similarity: the k best of each query, by the similarity rounded to 9 decimals and then
+    by the place of the vector, without equal ids and what isn't positive. Single precision tells which pairs can be among
+    them, by a margin above its error; those are computed in double precision."""
+    margin = 4 * (q.shape[1] + 8) * float(np.finfo(np.float32).eps) + 1e-8
+    q32, v32 = q.astype(np.float32), v.astype(np.float32)
+    out = []
+    for i in range(0, len(qi), TILE[0]):
+        part = slice(i, i + TILE[0])
+        rows, cols, exact = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        bar = np.full((len(qi[part]), 1), -margin, np.float32)
+        edges = [0, *range(FIRST, len(vi), TILE[1]), len(vi)]
+        for j, end in zip(edges, edges[1:], strict=False):
+            s = q32[part] @ v32[j:end].T
+            if j == 0 and end >= k:  # a first bar
+                fit = np.where((qi[part, None] == vi[None, :end]) | np.isnan(s), np.float32(-1), s)
+                bar = np.maximum(bar, np.partition(fit, end - k, axis=1)[:, end - k : end - k + 1] - np.float32(2 * margin))
+            r, c = np.divmod(np.flatnonzero(s >= bar), end - j)
+            c += j
+            other = qi[i + r] != vi[c]
+            r, c = r[other], c[other]
+            if not len(r):
+                continue
+            e = np.concatenate([np.einsum("ij,ij->i", q[i + r[x : x + CANDIDATES]], v[c[x : x + CANDIDATES]]) for x in range(0, len(r), CANDIDATES)])
+            up = e > 0
+            rows, cols, exact = np.concatenate([rows, r[up]]), np.concatenate([cols, c[up]]), np.concatenate([exact, e[up]])
+            order = np.lexsort((cols, -np.round(exact, 9), rows))
+            place = np.arange(len(rows)) - np.searchsorted(rows[order], rows[order])
+            keep, last = order[place < k], order[place == k - 1]
+            bar[rows[last], 0] = np.maximum(bar[rows[last], 0], (exact[last] - 2 * margin).astype(np.float32))
+            rows, cols, exact = rows[keep], cols[keep], exact[keep]
+        out.append((rows + i, cols, exact))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 6, block: int = BLOCK_ROWS, shard: int = SHARD_ROWS) -> DataFrame:
     """queries and vectors (id, v) -> id, neighbour, similarity, rank from 0: exact cosine by blocks of queries times
-    batches of vectors, k kept for each query and batch and then overall; positive, without the row itself."""
-    shards = max(64, -(-vectors.count() // SHARD_ROWS))
-    blocks = queries.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // block)))).cast("int"))
-    numbers = blocks.select(F.col("_b").alias("_c")).distinct()
-    others = vectors.select(F.col("id").alias("vid"), F.col("v").alias("vv"))
+    shards of vectors, k kept for each query and shard and then overall; positive, without the row itself. Numbers of
+    blocks and shards are the least that a task can hold, so that rows are copied as few times as possible."""
+    shards = max(4, -(-vectors.count() // shard))
+    parts = max(16, -(-queries.count() // block))
+    spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     # Exact search: every block of queries meets every shard of vectors once; both counts are bounded by their rows.
-    dealt = others.crossJoin(F.broadcast(numbers)).withColumn("_d", F.pmod(F.xxhash64("vid"), F.lit(shards)).cast("int"))
-    mine = blocks.crossJoin(F.broadcast(queries.sparkSession.range(shards).select(F.col("id").cast("int").alias("_s"))))
-
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        lists = column.combine_chunks()
-        flat = np.asarray(lists.flatten(), np.float64).reshape(len(lists), -1)
-        return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-30)
+    mine = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_b"), spread(shards, "_s"))
+    dealt = vectors.select(F.col("id").alias("vid"), F.col("v").alias("vv"), spread(parts, "_c"), F.pmod(F.xxhash64("vid"), F.lit(shards)).cast("int").alias("_d"))
 
     def multiply(q: pa.Table, v: pa.Table) -> pa.Table:
         kind = {"id": pa.int64(), "neighbour": pa.int64(), "similarity": pa.float64()}
@@ -74,16 +113,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 6, block: int = 204
             return pa.table({n: pa.array([], t) for n, t in kind.items()})
         v = v.sort_by("vid")  # of equal similarities the least ids are kept
         qi, vi = np.asarray(q.column("id")), np.asarray(v.column("vid"))
-        s = matrix(q.column("v")) @ matrix(v.column("vv")).T
-        s[qi[:, None] == vi[None, :]] = -1
-        n, r = min(k, s.shape[1]), np.round(s, 9)  # what counts as equal
-        least = -np.partition(-r, n - 1, axis=1)[:, n - 1 : n]
-        above, level = r > least, r == least
-        keep = above | (level & (np.cumsum(level, axis=1) <= n - above.sum(1, keepdims=True)))
-        rows, cols = np.nonzero(keep)
-        return pa.table({"id": qi[rows], "neighbour": vi[cols], "similarity": s[rows, cols]})
-
-    found = mine.groupBy("_b", "_s").cogroup(dealt.groupBy("_c", "_d")).applyInArrow(multiply, "id long, neighbour long, similarity double").where("similarity > 0")
+        rows, cols, s = _best(qi, _rows_of(q.column("v")), vi, _rows_of(v.column("vv")), k)
+        return pa.table({"id": qi[rows], "neighbour": vi[cols], "similarity": s})
+
+    found = mine.groupBy("_b", "_s").cogroup(dealt.groupBy("_c", "_d")).applyInArrow(multiply, "id long, neighbour long, similarity double")
     order = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 9)), "neighbour")
     return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 

@@ -2,7 +2,9 @@
 
 import random
 
-from lorekeep.operators import links, records
+import numpy as np
+
+from lorekeep.operators import links, records, semantic
 
 
 def plan(df):
@@ -52,3 +54,42 @@ def test_two_hops(spark):
                     want.setdefault((a, b), w)
         rows = [tuple(x) for x in got.collect()]
         assert len(rows) == len(want) and {(a, b): w for a, w, b in rows} == want
+
+
+def ranked(ids, v, other, w, k):
+    s = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ (w / np.linalg.norm(w, axis=1, keepdims=True)).T
+    out = {}
+    for i, row in zip(ids, s, strict=True):
+        best = sorted((-round(float(x), 9), int(n)) for n, x in zip(other, row, strict=True) if n != i and x > 0)[:k]
+        out[int(i)] = [(n, -x) for x, n in best]
+    return out
+
+
+def test_best_by_single_precision():
+    """Close similarities, equal vectors, repeated ids and few vectors, over several tiles."""
+    r = np.random.default_rng(4)
+    for n, dims, k, noise in ((9000, 8, 5, 1.0), (3000, 16, 15, 1e-7), (2500, 4, 40, 0.0), (3, 4, 6, 1.0)):
+        v = r.normal(size=dims) + noise * r.normal(size=(n, dims)) if noise < 1 else r.normal(size=(n, dims))
+        vi, qi = np.sort(r.permutation(2 * n)[:n]), r.permutation(2 * n)[:300]
+        if n > 100:
+            vi[1:4] = vi[0]
+        q = np.concatenate([v[:100], r.normal(size=(200, dims))])[: len(qi)]
+        unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+        rows, cols, s = semantic._best(qi, unit(q), vi, unit(v), k)
+        got = {int(i): [] for i in qi}
+        for a, b, x in zip(rows, cols, s, strict=True):
+            got[int(qi[a])].append((int(vi[b]), round(float(x), 9)))
+        want = ranked(qi, q, vi, v, k)
+        assert {i: sorted(x, key=lambda p: (-p[1], p[0])) for i, x in got.items()} == want
+
+
+def test_nearest_by_blocks_and_shards(spark):
+    """Sizes of both are given: shards had been 64 at least and blocks of 2,048, so copies grew with the square early."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(400, 6))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = semantic.nearest(rows, rows, 4, block=20, shard=60)
+    out = {}
+    for i, n, s, rank in got.select("id", "neighbour", "similarity", "rank").collect():
+        out.setdefault(i, []).append((rank, n, round(s, 9)))
+    assert {i: [p[1:] for p in sorted(x)] for i, x in out.items()} == ranked(range(400), v, range(400), v, 4)
