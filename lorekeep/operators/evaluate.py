@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators.stored import written
+
 DEPTH, K = 100, 60
 
 
@@ -59,7 +61,7 @@ def paired_test(a: DataFrame, b: DataFrame, perms: int = 1000, seed: int = 1) ->
     """One row: the macro difference of MRR and the p-value of random sign flips. Each permutation's sums are formed
     where the queries are; signs come from a hash of permutation and query."""
     left = metrics(a).select("query", "lang", F.col("mrr").alias("x"))
-    both = left.join(metrics(b).select("query", F.col("mrr").alias("y")), "query")
+    both = written(left.join(metrics(b).select("query", F.col("mrr").alias("y")), "query"))  # read three times
     per = both.groupBy("lang").agg(F.count("*").alias("n"))
     langs = per.count()
     rows = both.join(F.broadcast(per), "lang").select("query", ((F.col("x") - F.col("y")) / (F.lit(langs) * F.col("n"))).alias("d")).where("d <> 0")

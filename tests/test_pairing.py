@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from lorekeep.operators import links, records, semantic
+from lorekeep.operators import evaluate, links, records, semantic
 
 
 def plan(df):
@@ -93,3 +93,17 @@ def test_nearest_by_blocks_and_shards(spark):
     for i, n, s, rank in got.select("id", "neighbour", "similarity", "rank").collect():
         out.setdefault(i, []).append((rank, n, round(s, 9)))
     assert {i: [p[1:] for p in sorted(x)] for i, x in out.items()} == ranked(range(400), v, range(400), v, 4)
+
+
+def test_paired_test_reads_ranks_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for f in batches:
+            read.add(len(f))
+            yield f
+
+    ranks = spark.createDataFrame([(i, f"l{i % 3}", i % 12 + 1) for i in range(90)], "query long, lang string, rank int").mapInPandas(counted, "query long, lang string, rank int")
+    other = spark.createDataFrame([(i, "", 1) for i in range(90)], "query long, lang string, rank int")
+    assert evaluate.paired_test(ranks, other).count() == 1
+    assert read.value == 90
