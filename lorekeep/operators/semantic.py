@@ -14,25 +14,35 @@ from lorekeep.functions.vectors import cosine
 SHARD_ROWS, BLOCK_ROWS = 100_000, 25_000
 #: Queries and vectors that are multiplied at once, vectors that set a first bar, pairs computed in double precision at once.
 TILE, FIRST, CANDIDATES = (256, 8192), 2048, 65536
+#: Bytes of the texts of a bucket, about.
+BUCKET_BYTES = 16 << 20
 #: Letters first and last, marks between; or a single letter.
 TOKEN = r"(\p{L}[\p{L}\p{N}_'-]*[\p{L}\p{N}]|\p{L})"
 
 
-def terms(df: DataFrame, id_: str, text: str, stop: tuple[str, ...] = ()) -> DataFrame:
-    """id, term, tf of words over two letters."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(1))
-    rows = df.select(F.col(id_).alias("id"), F.explode(words).alias("term")).where(F.length("term") > 2)
+def terms(df: DataFrame, id_: str, text: str, buckets: int, stop: tuple[str, ...] = ()) -> DataFrame:
+    """id, term, tf of words over two letters, and the bucket of the id. Texts are dealt to the buckets once, by their
+    ids; words, many times as large when they are rows, are counted there."""
+    bucket = F.coalesce(F.pmod(F.xxhash64(id_), F.lit(buckets)).cast("int"), F.lit(0)).alias("bucket")
+    dealt = df.select(F.col(id_).alias("id"), F.col(text).alias("_text"), bucket).repartitionById(buckets, "bucket")
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("_text"), F.lit(""))), F.lit(TOKEN), F.lit(1))
+    rows = dealt.select("bucket", "id", F.explode(words).alias("term")).where(F.length("term") > 2)
     if stop:
         rows = rows.where(~F.col("term").isin(*stop))
-    return rows.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return rows.groupBy("bucket", "id", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(tf: DataFrame, n: int) -> DataFrame:
-    """id, term, weight: sublinear, idf with one added, rows of length 1; terms in 2 to n/2 documents."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= n / 2))
+def tfidf(docs: DataFrame, id_: str, text: str, n: int, stop: tuple[str, ...] = ()) -> DataFrame:
+    """id, term, weight of n documents: sublinear, idf with one added, rows of length 1; terms in 2 to n/2 documents.
+    Buckets send each term that they have once, and get its number of documents back."""
+    size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    tf = terms(docs, id_, text, buckets, stop)
+    had = tf.groupBy("bucket", "term").agg(F.count("*").alias("c")).withColumn("df", F.sum("c").over(Window.partitionBy("term")))
+    known = had.where((F.col("df") >= 2) & (F.col("df") <= n / 2)).select("bucket", "term", "df").repartitionById(buckets, "bucket")
     w = (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)
-    rows = tf.join(df, "term").withColumn("w", w)
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    rows = tf.join(known.hint("shuffle_hash"), ["bucket", "term"]).withColumn("w", w)
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("bucket", "id")))
     return rows.select("id", "term", (F.col("w") / length).alias("weight"))
 
 

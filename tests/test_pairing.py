@@ -1,6 +1,9 @@
 """Joins with far more pairs than rows: the pairs by brute force, and plans that neither collect a side nor deal a result."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -107,3 +110,20 @@ def test_paired_test_reads_ranks_once(spark):
     other = spark.createDataFrame([(i, "", 1) for i in range(90)], "query long, lang string, rank int")
     assert evaluate.paired_test(ranks, other).count() == 1
     assert read.value == 90
+
+
+def test_tfidf_shuffles_texts_and_words_of_buckets(spark):
+    r = random.Random(6)
+    texts = [(i % 50, " ".join(r.choice(["red", "blue", "Green", "don't", "a", "xy", "zeta", f"w{i % 9}x", f"one{i}"]) for _ in range(r.randrange(12)))) for i in range(60)] + [(70, None), (71, "")]
+    got = semantic.tfidf(spark.createDataFrame(texts, "id long, text string"), "id", "text", 52)
+    moved = re.findall(r"Exchange (\w+)\(([^,)]*)", plan(got))
+    assert not [x for x in moved if "id" in x[1].replace("direct_shuffle_partition_id", "")]  # no row of a word by its document
+    tf = {}
+    for i, x in texts:
+        tf.setdefault(i, Counter()).update(w for w in re.findall(r"[^\W\d_](?:[\w'-]*[^\W_])?", (x or "").lower()) if len(w) > 2)
+    df = Counter(w for c in tf.values() for w in c)
+    want = {}
+    for i, c in tf.items():
+        w = {t: (1 + math.log(f)) * (math.log(53 / (1 + df[t])) + 1) for t, f in c.items() if 2 <= df[t] <= 26}
+        want |= {(i, t): round(x / math.sqrt(sum(y * y for y in w.values())), 9) for t, x in w.items()}
+    assert {(i, t): round(x, 9) for i, t, x in got.select("id", "term", "weight").collect()} == want
